@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import packing
+from factloom.llm import exact_dedup, packing
 
-_MODULES = (packing,)
+_MODULES = (packing, exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
