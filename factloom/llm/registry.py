@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, packing
+from factloom.llm import exact_dedup, packing, simhash
 
-_MODULES = (packing, exact_dedup)
+_MODULES = (packing, exact_dedup, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
