@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, packing, simhash
+from factloom.llm import exact_dedup, language, packing, secrets, simhash
 
-_MODULES = (packing, exact_dedup, simhash)
+_MODULES = (packing, exact_dedup, simhash, language, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
