@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, language, media, packing, quality, secrets, simhash
+from factloom.llm import exact_dedup, language, media, packing, quality, secrets, sentencepiece, simhash
 
-_MODULES = (packing, exact_dedup, simhash, language, media, quality, secrets)
+_MODULES = (packing, exact_dedup, simhash, language, media, quality, secrets, sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
