@@ -37,7 +37,7 @@ from factloom.llm.common import documents, id_and_text
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
