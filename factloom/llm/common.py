@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The column of ``numbered``.
+ROW = "_factloom_row"
 #: Characters that the contracts call white space: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -56,3 +58,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns every operator needs; other columns cannot clash. Null text counts as empty."""
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row, doc_id, text.  ``docs`` may be numbered already (by ``numbered``)."""
+    known = docs if ROW in docs.columns else numbered(docs.select(docs[id_col], docs[text_col]))
+    return known.select(known[ROW].alias("_row"), known[id_col].alias("doc_id"), F.coalesce(known[text_col], F.lit("")).alias("text"))
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether the plan only reads files (or literal rows), in one order each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith(("LogicalRelation", "Relation", "LocalRelation"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ROW, a number that stays the row's own however often the plan runs.
+
+    Rows are numbered in reading order.  What isn't a plain scan is written first.
+    """
+    if not _is_plain_scan(docs):
+        docs, _ = write_table(docs.sparkSession, docs, "rows")
+    return docs.withColumn(ROW, F.monotonically_increasing_id())

@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, drop_table, id_and_text, write_table
+from factloom.llm.common import ROW, documents, drop_table, numbered, rows_of, write_table
 
 BLOCK_CHARS = 4096
 
@@ -57,10 +57,6 @@ def _numbered(spark: SparkSession, distinct: DataFrame, by: list[str], label: st
     return write_table(spark, ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
-def _with_row_ids(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def _named_blocks(spark: SparkSession, rows: DataFrame, block_chars: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """(occurrences with the keys of their blocks, names by key, paths written)."""
     for seed in range(64):
@@ -87,8 +83,7 @@ def _named_blocks(spark: SparkSession, rows: DataFrame, block_chars: int) -> tup
 def identities(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
     """(occurrences: _row, doc_id, n_chars, text_sha256; identities: _row, level, name)."""
     spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col)
-    rows = _with_row_ids(texts).select(
+    rows = rows_of(docs, id_col, text_col).select(
         "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm")
     )
     occurrences, names, _ = _named_blocks(spark, rows, block_chars)
@@ -139,14 +134,10 @@ def exact_groups(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    ``docs`` is a table read from files: its rows are numbered in reading order
-    each time it is scanned.
-    """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("_row").alias("_kept_row"))
-    numbered = _with_row_ids(docs)
-    return numbered.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
+    """The rows of ``docs`` that stay, with all their columns."""
+    rows = numbered(docs)
+    kept = exact_groups(rows, id_col, text_col).filter("kept").select(F.col("_row").alias("_factloom_kept"))
+    return rows.join(kept, F.col(ROW) == F.col("_factloom_kept"), "left_semi").drop(ROW)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

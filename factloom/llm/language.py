@@ -219,18 +219,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 lang, score, doubt = predict(shared.value, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)],
-                    names=[*names, "_lang_pred", "_lang_score", "_lang_ambiguous"],
+                    names=[*names, "_factloom_lang_pred", "_factloom_lang_score", "_factloom_lang_ambiguous"],
                 )
 
-    added = [T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]
-    schema = T.StructType([*docs.schema.fields, *added, T.StructField("_lang_ambiguous", T.BooleanType())])
+    added = [T.StructField("_factloom_lang_pred", T.StringType()), T.StructField("_factloom_lang_score", T.DoubleType())]
+    schema = T.StructType([*docs.schema.fields, *added, T.StructField("_factloom_lang_ambiguous", T.BooleanType())])
     return docs.mapInArrow(batches, schema)
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language can be told; those without any letter go."""
     found = identify(docs, train(docs, text_col=text_col), text_col)
-    return found.filter(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
+    return found.filter(F.col("_factloom_lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,9 +240,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_lang_pred").alias("lang_pred"),
-        F.col("_lang_score").alias("score"),
-        F.col("_lang_ambiguous").alias("ambiguous"),
+        F.col("_factloom_lang_pred").alias("lang_pred"),
+        F.col("_factloom_lang_score").alias("score"),
+        F.col("_factloom_lang_ambiguous").alias("ambiguous"),
     )
 
 

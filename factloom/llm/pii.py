@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, drop_table, id_and_text, write_table
+from factloom.llm.common import documents, drop_table, rows_of, write_table
 
 #: For tests and the registered query; real use passes its own key.
 DEMONSTRATION_KEY = "factloom demonstration key"
@@ -256,8 +256,8 @@ def _words(lines: DataFrame) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_entities, spans (kind:start:end in the original text), text with surrogates."""
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
-    lines, _ = write_table(spark, _taken_apart(rows.withColumn("_row", F.monotonically_increasing_id())), "entities")
+    rows = rows_of(docs, id_col, text_col)
+    lines, _ = write_table(spark, _taken_apart(rows), "entities")
     words = _words(lines)
     known = surrogates(words.filter("kind is not null").groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one"), key)
     named = words.filter("kind is not null").join(known, ["kind", "value"]).select("_row", "pos", "part", "surrogate")

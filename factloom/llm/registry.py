@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import exact_dedup, language, media, packing, pii, quality, secrets, sentencepiece, simhash
+from factloom.llm import exact_dedup, language, media, packing, pii, quality, secrets, sentencepiece, simhash, suffix_dedup
 
-_MODULES = (packing, exact_dedup, simhash, language, media, quality, secrets, sentencepiece, pii)
+_MODULES = (packing, exact_dedup, simhash, language, media, quality, secrets, sentencepiece, pii, suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import documents, drop_table, id_and_text, write_table
+from factloom.llm.common import ROW, documents, drop_table, numbered, rows_of, write_table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -272,7 +272,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    rows = id_and_text(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     make = functools.partial(_fingerprints, shingle_words=shingle_words, keep=["_row", "doc_id"])
     found, _ = write_table(docs.sparkSession, rows.mapInArrow(make, f"_row long, doc_id {kind}, fp long"), "fingerprints")
@@ -306,10 +306,10 @@ def near_duplicates(
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (a table read from files) that stay: the first of each component."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("_row").alias("_kept_row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
+    """The rows of ``docs`` that stay, with all their columns: the first of each component."""
+    rows = numbered(docs)
+    kept = near_duplicates(rows, id_col, text_col).filter("kept").select(F.col("_row").alias("_factloom_kept"))
+    return rows.join(kept, F.col(ROW) == F.col("_factloom_kept"), "left_semi").drop(ROW)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
