@@ -13,7 +13,7 @@ INFERENTIAL = r"(?i)适合户外|户外使用|长期浸水|效率提升\s*[0-9]+
 
 def clauses(text: Column) -> Column:
     """Sentences of a segment; a point between digits does not end one."""
-    return F.filter(F.transform(F.split(text, r"[。！？!?]|(?<![0-9])\.(?![0-9])"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(text, r"[。！？!?]|(?<![0-9])\.(?![0-9])"), lambda x: F.trim(x)), lambda c: c != "")
 
 
 def evaluate(claims: DataFrame, facts: DataFrame, same: Column | None = None) -> DataFrame:

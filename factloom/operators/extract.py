@@ -56,7 +56,7 @@ def bind(rows: DataFrame) -> DataFrame:
     label_first = corrected.rlike(rf"^(?i:{_known})")
     fixed = F.when(F.col("_body").rlike(DENIAL), F.when(label_first, corrected).otherwise(F.concat(own, F.lit(":"), corrected)))
     step = stage(step, {"_body": F.when(F.col("_body").rlike(DENIAL), fixed).otherwise(F.col("_body"))}).filter("_body is not null")
-    cells = F.filter(F.transform(F.split("_body", r"[|\t]"), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("_body", r"[|\t]"), lambda x: F.trim(x)), lambda c: c != "")
     step = stage(step, {"_cells": F.when(F.col("_body").rlike(r"[|\t]"), cells)})
     pair = r"(?s)^\s*(?:[-*•]\s*)?([^:：=\n]{1,64})\s*[:：=]\s*(.+)$"
     before = rf"^\s*(?:[-*•]\s*)?(?:(?:该|本)产品)?((?i:{_numeric_labels}))(?![A-Za-z0-9_](?<![0-9]))\s*(?:->|为|是)?\s*((?:[≤≥<>≈约+\-−]|(?i:no |not |at |up |about )|[0-9]).*)$"

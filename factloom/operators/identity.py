@@ -40,7 +40,7 @@ def _only(field: str, by: Window) -> Column:
 def expand_tokens(candidates: DataFrame) -> DataFrame:
     """A100/A200 in front of a parameter (or as a SKU) makes one row for each."""
     listed = F.when(F.col("token").isNotNull(), F.col("token")).when(F.col("field") == "sku", F.col("raw"))
-    tokens = F.transform(F.split(listed, r"\s*(?:/|、|,|，)\s*"), F.trim)
+    tokens = F.transform(F.split(listed, r"\s*(?:/|、|,|，)\s*"), lambda x: F.trim(x))
     good = (F.size(tokens) <= 32) & F.forall(tokens, lambda t: t.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$"))
     rows = stage(candidates, {"_tokens": F.when(listed.isNotNull() & good, tokens)})
     rows = rows.select("*", F.explode_outer("_tokens").alias("applies_to"))

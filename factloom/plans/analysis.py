@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.tables import settled
 from factloom.operators import extract, groups, identity, segments
 
 
@@ -23,10 +24,13 @@ def analyse(blocks: DataFrame) -> Analysis:
 
     Drafts never certify claims: their files are left out.  Versions and the
     historical mark of a document reach the candidates by a join on the file.
+    Candidates are written twice on the way, before and after they get owners.
     """
     context = segments.document_context(blocks)
     evidence = context.filter("role = 'evidence'").select("source_file", "version", "historical")
-    found = identity.resolve_products(extract.candidates(blocks).join(evidence, "source_file"))
+    read = settled(extract.candidates(blocks).join(evidence, "source_file"), "candidates")
+    found = identity.resolve_products(read)
     found = found.withColumn("binding", F.when((F.col("rule") == "value_first") & F.col("field").startswith("custom_"), "inferred_value_first").otherwise("explicit"))
+    found = settled(found, "owned-candidates")
     relations = groups.cross_field_relations(found)
     return Analysis(found, groups.fact_groups(found, relations), relations, identity.product_entities(found))

@@ -293,9 +293,14 @@ def decision_reconcile(spark, sf):
     return decisions.reconcile(made.unionAll(gone), rows, "c_custkey").select("c_custkey", "state")
 
 
-@query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name HAVING min(p_partkey) = max(p_partkey)")
+@query("""
+WITH m AS (SELECT p_brand || '/' || p_type || '/' || p_size AS model, p_partkey FROM part)
+SELECT model, min(p_partkey) AS p_partkey FROM m GROUP BY model HAVING min(p_partkey) = max(p_partkey)
+""")
 def model_to_unique_sku(spark, sf):
-    return identity.unique_owner(table(spark, sf, "part"), "p_name", "p_partkey")
+    """Models that exactly one part has."""
+    rows = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_size").alias("model"), "p_partkey")
+    return identity.unique_owner(rows, "model", "p_partkey")
 
 
 @query("""
@@ -420,14 +425,15 @@ def bbox_contain(spark, sf):
 
 
 @query(r"""
-WITH n AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS label FROM pages)
-SELECT page_id, label FROM n WHERE label NOT IN (SELECT label FROM n GROUP BY label HAVING count(DISTINCT page_id) >= 2)
+WITH l AS (SELECT page_id, regexp_extract_all(html, '[A-Za-z]{9,}') AS words FROM pages),
+n AS (SELECT page_id, i - 1 AS place, words[i] AS label FROM l, range(1, 13) r(i) WHERE i <= len(words))
+SELECT page_id, CAST(place AS INTEGER) AS place, label FROM n WHERE (place, label) NOT IN (SELECT (place, label) FROM n GROUP BY place, label HAVING count(DISTINCT page_id) >= 2)
 """)
 def running_margin_pages(spark, sf):
-    """Navigation labels that do not come back on other pages."""
-    links = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))))
-    rows = table(spark, sf, "pages").select("page_id", links.alias("label"), F.lit("nav").alias("place"))
-    return layout.without_running_margins(rows, "label", "page_id", ["place"]).select("page_id", "label")
+    """Long words among the first twelve of a page, without those that come back on other pages at the same place."""
+    words = F.slice(F.regexp_extract_all("html", F.lit("[A-Za-z]{9,}"), F.lit(0)), 1, 12)
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(words).alias("place", "label"))
+    return layout.without_running_margins(rows, "label", "page_id", ["place"]).select("page_id", "place", "label")
 
 
 @query(r"""
