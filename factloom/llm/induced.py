@@ -145,11 +145,11 @@ def _ranks(names: np.ndarray, rounds: int) -> np.ndarray:
     for _ in range(rounds):
         if len(rank) == 0 or rank.max() + 1 == len(rank):
             break
-        second = np.append(rank[reach:] + 1, np.zeros(min(reach, len(rank)), dtype=np.int64))
-        order = np.lexsort((second, rank))
-        changed = (np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0)
+        key = rank * (len(rank) + 1)
+        key[:-reach] += rank[reach:] + 1
+        order = np.argsort(key)
         new = np.empty_like(rank)
-        new[order] = np.append(0, np.cumsum(changed))
+        new[order] = np.append(0, np.cumsum(np.diff(key[order]) != 0))
         rank, reach = new, reach * 2
     return rank
 
@@ -165,20 +165,24 @@ def suffix_array(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> np.
     is_star[stars] = True
     rough = _induce(text, small, stars, alphabet, budget)
     names = _names(text, stars, rough[is_star[rough]])
-    ranks = _ranks(names, int(np.ceil(np.log2(depth))) + 1)
+    ranks = _ranks(names, int(np.ceil(np.log2(max(2, depth)))))  # a name stands for two characters at least
     return _induce(text, small, stars[np.argsort(ranks, kind="stable")], alphabet, budget)
 
 
 def common_at_least(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each neighbour pair in ``order``: whether both go on alike for ``depth`` bytes (BREAK and END are alike to nothing)."""
-    padded = np.append(text, np.zeros(depth, dtype=text.dtype))
-    alive = np.arange(len(order) - 1)
+    """For each neighbour pair in ``order``: whether both go on alike for ``depth`` bytes of one context."""
+    ends = np.flatnonzero(text < BYTES_FROM)
+    rest = ends[np.searchsorted(ends, order)] - order  # bytes up to the end of the context
+    alive = np.flatnonzero((rest[:-1] >= depth) & (rest[1:] >= depth))
     a, b = order[:-1], order[1:]
-    for k in range(depth):
-        x = padded[a[alive] + k]
-        alive = alive[(x == padded[b[alive] + k]) & (x >= BYTES_FROM)]
-        if not len(alive):
-            break
+    raw = np.append(np.maximum(text - BYTES_FROM, 0).astype(np.uint8), np.zeros(8, dtype=np.uint8))
+    eight = np.zeros(len(text), dtype=np.uint64)
+    for k in range(8):
+        eight |= raw[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
+    for k in [*range(0, depth - 7, 8), max(0, depth - 8)] if depth >= 8 else []:
+        alive = alive[eight[a[alive] + k] == eight[b[alive] + k]]
+    for k in range(depth if depth < 8 else 0):
+        alive = alive[raw[a[alive] + k] == raw[b[alive] + k]]
     found = np.zeros(max(0, len(order) - 1), dtype=bool)
     found[alive] = True
     return found

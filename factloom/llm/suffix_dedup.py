@@ -1,7 +1,7 @@
 """Suffix-array deduplication: remove every byte of a string of N bytes that also starts elsewhere.
 
 The suffix order of a whole corpus is cut into independent shards.  A content
-anchor (the least hash of 32 bytes) is chosen in every window of N bytes, so
+anchor (the least hash of 64 bytes) is chosen in every window of N bytes, so
 equal windows have the same anchor at the same place; a run of windows with one
 anchor is a context.  Windows can only be equal below the same anchor, so each
 anchor's contexts are a part of the suffix array that can be sorted alone.
@@ -43,7 +43,7 @@ from factloom.llm.common import documents, drop_table, rows_of, write_table
 from factloom.llm.induced import repeated_windows
 
 WINDOW = 200
-ANCHOR = 32
+ANCHOR = 64
 HOT_CONTEXTS = 2048
 SHARD_BYTES = 4 << 20
 _SEGMENT = 1 << 21  # windows looked at together; positions must fit in 24 bits
@@ -292,8 +292,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     anchors = rows.select("_row", "text").mapInArrow(make, "_row long, place long, a long, c long")
 
     seen = anchors.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"), F.min("place").alias("place"))
-    per_anchor = seen.groupBy("a").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds")).filter("met > 1")
-    repeated, repeated_path = write_table(spark, seen.join(per_anchor, "a").drop("met"), "repeated-contexts")
+    # It takes all columns of ``seen``, so that the two branches share one exchange.
+    least = [F.min("_row").alias("least_row"), F.min("place").alias("least_place")]
+    per_anchor = seen.groupBy("a").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds"), *least).filter("met > 1")
+    repeated, repeated_path = write_table(spark, seen.join(per_anchor, "a"), "repeated-contexts")
     del seen, per_anchor
     _clean_up(spark)
 
@@ -305,19 +307,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     marks = inside.unionByName(single)
     edge = F.when((F.col("kinds") > 1) & F.col("first"), F.struct("a", "place", (F.col("kinds") > HOT_CONTEXTS).alias("hot")))
     marks = marks.groupBy("_row").agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(edge).alias("edges"))
-    marked, _ = write_table(spark, rows.join(marks, "_row", "left"), "marked")
+    marked, _ = write_table(spark, rows.join(marks, "_row"), "marked")
     drop_table(spark, repeated_path)
     del marks, inside, single, several, repeated
     _clean_up(spark)
 
-    has_edges = F.coalesce(F.size("edges"), F.lit(0)) > 0
+    has_edges = F.size("edges") > 0
     cutter = functools.partial(_contexts, window=window)
 
     def contexts(hot: bool) -> DataFrame:
         chosen = marked.filter(has_edges).select("_row", "text", F.filter("edges", lambda e: e["hot"] == hot).alias("edges"))
         return chosen.filter(F.size("edges") > 0).mapInArrow(cutter, "_row long, a long, first long, context binary")
 
-    shards = contexts(False).repartition("a").sortWithinPartitions("a")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = contexts(False).repartition(tasks, "a").sortWithinPartitions("a")
     stretches = shards.mapInArrow(functools.partial(_sorted_shard, window=window), "_row long, start long, end long")
     digests = contexts(True).mapInArrow(functools.partial(_window_digests, window=window), "_row long, start long, x long, y long")
     more = digests.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -327,11 +330,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     columns = ["doc_id", "text", "whole"]
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("found")
-    plain = marked.filter(~has_edges).select(*columns, empty)
+    simple = marked.filter(~has_edges).select(*columns, empty)
     joined = marked.filter(has_edges).join(found, "_row", "left").select(*columns, "found")
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out += ", spans array<struct<start:bigint,end:bigint>>, kept binary" if with_text else ""
-    return plain.unionByName(joined).mapInArrow(functools.partial(_kept, window=window, with_text=with_text), out)
+    cut = simple.unionByName(joined).mapInArrow(functools.partial(_kept, window=window, with_text=with_text), out)
+    # Documents without any mark are whole; of them only the digest is shuffled.
+    whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")]
+    whole.append(F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    if with_text:
+        whole += [F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("text", "UTF-8").alias("kept")]
+    untouched = rows.select("_row", "doc_id", *whole).join(marked.select("_row"), "_row", "left_anti").drop("_row")
+    return cut.unionByName(untouched)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,10 +151,10 @@ def test_repeated_windows():
 def test_anchored_runs_cover_every_window_once():
     raw = [bytes(RNG.choice(b"abc ") for _ in range(n)) for n in (0, 199, 200, 201, 900, 3000)]
     for data, doc, begin, shift in suffix_dedup._segments(raw, 200):
-        first, last, anchor, a, _ = suffix_dedup.anchored_runs(data, doc, 200, 32)
+        first, last, anchor, a, _ = suffix_dedup.anchored_runs(data, doc, 200, suffix_dedup.ANCHOR)
         windows = [(begin[doc[f]], w + shift[doc[f]]) for f, e in zip(first, last, strict=True) for w in range(f, e + 1)]
         assert sorted(windows) == [(k, w) for k, t in enumerate(raw) for w in range(len(t) - 199)]
-        assert all(f <= p and p + 32 <= f + 200 and p + 32 <= e + 200 for f, e, p in zip(first, last, anchor, strict=True))
+        assert all(f <= p and e <= p and p + suffix_dedup.ANCHOR <= f + 200 for f, e, p in zip(first, last, anchor, strict=True))
 
 
 # ------------------------------------------------------------------ simhash
