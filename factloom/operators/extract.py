@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import registry
 from factloom.functions.stages import stage
-from factloom.functions.values import clean_text, normalise, review_reason, value_key
+from factloom.functions.values import clean_text, fact_text, normalise, review_reason, value_key
 from factloom.operators.segments import DENIAL, segments
 
 _known = "|".join(re.escape(x) for x in sorted(registry.labels(), key=lambda x: (-len(x), x)))
@@ -112,6 +112,14 @@ def candidates(blocks: DataFrame) -> DataFrame:
         "mapping_confidence": F.when(F.col("rule").isin("pair") & F.col("confidence").isNull(), 0.95).otherwise(F.coalesce("confidence", F.lit(0.95))),
         "scope": F.coalesce("label_scope", "default_scope"),
     })
+    if "parents" in rows.columns:  # what a table says above or beside a parameter qualifies it
+        named = F.create_map(*[F.lit(x) for p in {"input": "input", "output": "output", "输入": "input", "输出": "output"}.items() for x in p])
+        above = F.transform(F.split("parents", r"\|"), lambda x: F.coalesce(named[F.lower(x)], F.concat(F.lit("context:"), fact_text(x))))
+        own = F.when(F.col("scope") != "unspecified", F.array("scope")).otherwise(F.array().cast("array<string>"))
+        atoms = F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")), above))
+        ordered = F.array_sort(F.transform(atoms, lambda x: F.struct(F.when(x.isin("input", "output"), 0).otherwise(1).alias("rank"), x.alias("atom"))))
+        joined = F.array_join(ordered["atom"], "|")
+        rows = stage(rows, {"scope": F.when(F.col("parents").isNotNull() & ~F.col("field").isin("sku", "model", "variant"), joined).otherwise(F.col("scope"))})
     rows = rows.filter((F.col("value_type") == "text") | F.col("raw").rlike("[0-9]") | clean_text(F.col("raw")).isin(*registry.MISSING_VALUES))
     rows = normalise(rows)
     reason = review_reason(F.col("field"), F.col("value_type"), F.col("family"), F.col("raw"), F.col("value"))

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import registry
+from factloom.sources.matrices import bind_table
 
 BLOCKS = (
     "source_file string, file_hash string, source_kind string, position int, text string, atomic boolean, recognition_confidence double, "
-    "row_id string, identity_sku string, identity_model string, locator string, issue string"
+    "row_id string, identity_sku string, identity_model string, parents string, locator string, issue string"
 )
 TEXT_KINDS = (".txt", ".md")
 MOST_BYTES = 100 * 1024 * 1024
@@ -62,8 +63,25 @@ def header_fields(cells: list[str]) -> list[str | None]:
 
 
 def bind_rows(rows: list[list[str]], kind: str) -> Iterator[dict]:
-    """A header with two known fields makes every cell below a parameter of its row's product; else rows are joined cells."""
-    head = next((k for k, r in enumerate(rows[:20]) if sum(f is not None for f in header_fields(r)) >= 2), None)
+    """Cells of a table as parameters.
+
+    Matrix tables are read the way they run.  Else a header with two known
+    fields makes every cell below a parameter of its row's product, and without
+    one, rows are joined cells.  Reference tables stay plain rows.
+    """
+    how, cells = bind_table(rows)
+    if how in ("parameter", "model"):
+        for c in cells:
+            owner = json.dumps(c.identity, sort_keys=True, ensure_ascii=False) if c.identity else None
+            yield _block(
+                f"{c.label}: {c.value}", f"{kind}_row", {"row": c.row}, atomic=True, row_id=owner, parents="|".join(c.parents) or None,
+                identity_sku=c.identity.get("sku"), identity_model=c.identity.get("model"), issue="ambiguous_identity" if c.ambiguous else None,
+            )
+        for n, identity in enumerate({json.dumps(c.identity, sort_keys=True): c.identity for c in cells if c.identity}.values()):
+            for name, value in identity.items():
+                yield _block(f"{name}: {value}", f"{kind}_row", {"owner": n}, atomic=True, row_id=json.dumps(identity, sort_keys=True, ensure_ascii=False))
+        return
+    head = None if how == "reference" else next((k for k, r in enumerate(rows[:20]) if sum(f is not None for f in header_fields(r)) >= 2), None)
     names = header_fields(rows[head]) if head is not None else []
     for n, row in enumerate(rows, 1):
         cells = [c.strip() for c in row]

@@ -6,8 +6,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from factloom.operators import model_output, ocr
-from factloom.sources import matrices, visuals
+from factloom.operators import extract, model_output, ocr
+from factloom.operators.identity import resolve_products
+from factloom.sources import files, matrices, visuals
 
 
 def test_parameter_matrix():
@@ -26,6 +27,15 @@ def test_model_matrix():
     ]
 
 
+def test_matrix_tables_become_facts(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Model,X-1,X-2\n净重,300g,400g\nInput,,\nVoltage,5V,9V\n", encoding="utf-8")
+    blocks = files.read_blocks(files.discover(spark, str(tmp_path)))
+    got = resolve_products(extract.candidates(files.evidence(blocks))).filter("field <> 'model'").collect()
+    assert sorted((r["model"], r["field"], r["scope"], r["value_key"]) for r in got) == [
+        ("X-1", "net_weight", "net", "g|300"), ("X-1", "voltage", "input", "V|5"), ("X-2", "net_weight", "net", "g|400"), ("X-2", "voltage", "input", "V|9"),
+    ]
+
+
 def test_reference_and_record_tables():
     assert matrices.bind_table([["Version", "Date"], ["1", "2020"]])[0] == "reference"
     assert matrices.bind_table([["SKU", "净重"], ["A1", "300g"]]) == ("row", [])
@@ -45,11 +55,11 @@ def test_office_visuals(spark, monkeypatch):
         z.writestr("word/media/b.png", b"2" * 100)
         z.writestr("word/media/c.png", b"3" * 10)
         z.writestr("word/charts/chart1.xml", CHART)
-    files = spark.createDataFrame([("f.docx", ".docx", bytearray(out.getvalue()), None), ("bad.docx", ".docx", bytearray(b"x"), None)], "source_file string, kind string, content binary, skip_reason string")
-    got = {r["part"]: r["issue"] for r in visuals.embedded_images(files).filter("source_file = 'f.docx'").collect()}
+    found = spark.createDataFrame([("f.docx", ".docx", bytearray(out.getvalue()), None), ("bad.docx", ".docx", bytearray(b"x"), None)], "source_file string, kind string, content binary, skip_reason string")
+    got = {r["part"]: r["issue"] for r in visuals.embedded_images(found).filter("source_file = 'f.docx'").collect()}
     assert got == {"word/media/a.png": None, "word/media/b.png": None, "word/media/c.png": None}
-    assert visuals.embedded_images(files).filter("source_file = 'bad.docx' and issue is not null").count() == 1
-    points = [(r["title"], r["chart_type"], r["series_name"], r["category"], r["value"]) for r in visuals.charts(files).orderBy("point").collect()]
+    assert visuals.embedded_images(found).filter("source_file = 'bad.docx' and issue is not null").count() == 1
+    points = [(r["title"], r["chart_type"], r["series_name"], r["category"], r["value"]) for r in visuals.charts(found).orderBy("point").collect()]
     assert points == [("Load", "bar", "S", "a", None), ("Load", "bar", "S", "b", 2.5)]
 
 
