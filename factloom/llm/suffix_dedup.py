@@ -45,7 +45,7 @@ from factloom.llm.induced import repeated_windows
 WINDOW = 200
 ANCHOR = 64
 HOT_CONTEXTS = 2048
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 512 << 10  # what is sorted at once; small enough for a core's cache
 _SEGMENT = 1 << 21  # windows looked at together; positions must fit in 24 bits
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -227,13 +227,18 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch], window: int):
 def _window_digests(batches: Iterator[pa.RecordBatch], window: int):
     """All windows of contexts by two digests: for anchors with very many contexts."""
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("_row", "first", "context"))
-        for r, first, context in zip(*columns, strict=True):
-            data = np.frombuffer(context, dtype=np.uint8)
-            at = np.arange(len(data) - window + 1)
-            x, y = (_mix(Rolling(data, k).of(at, window)).view(np.int64) for k in (0, 1))
-            rows = np.full(len(at), r, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (rows, at + first, x, y))), names=["_row", "start", "x", "y"])
+        for begin in range(0, batch.num_rows, 1024):
+            part = batch.slice(begin, 1024)
+            contexts = part.column("context").to_pylist()
+            sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+            data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+            starts = np.cumsum(sizes) - sizes
+            counts = sizes - window + 1
+            of = np.repeat(np.arange(len(contexts)), counts)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            x, y = (_mix(Rolling(data, k).of(starts[of] + inside, window)).view(np.int64) for k in (0, 1))
+            columns = [part.column("_row").to_numpy()[of], part.column("first").to_numpy()[of] + inside, x, y]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["_row", "start", "x", "y"])
 
 
 # -------------------------------------------------------------- removal
@@ -291,25 +296,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     make = functools.partial(_anchor_rows, window=window)
     anchors = rows.select("_row", "text").mapInArrow(make, "_row long, place long, a long, c long")
 
-    seen = anchors.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"), F.min("place").alias("place"))
-    # It takes all columns of ``seen``, so that the two branches share one exchange.
-    least = [F.min("_row").alias("least_row"), F.min("place").alias("least_place")]
-    per_anchor = seen.groupBy("a").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds"), *least).filter("met > 1")
+    seen = anchors.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+    per_anchor = seen.groupBy("a").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds")).filter("met > 1").drop("met")
     repeated, repeated_path = write_table(spark, seen.join(per_anchor, "a"), "repeated-contexts")
     del seen, per_anchor
     _clean_up(spark)
 
-    # One copy of a context stands for all: with a single copy (_row, place) are its own; else any copy will do.
-    several = repeated.filter("n > 1")
-    inside = anchors.join(several.select("a", "c", F.col("_row").alias("first_row"), "kinds"), ["a", "c"])
-    inside = inside.select("_row", "place", "a", "kinds", (F.col("_row") == F.col("first_row")).alias("first"), F.lit(True).alias("whole"))
-    single = repeated.filter("n = 1 and kinds > 1").select("_row", "place", "a", "kinds", F.lit(True).alias("first"), F.lit(False).alias("whole"))
-    marks = inside.unionByName(single)
-    edge = F.when((F.col("kinds") > 1) & F.col("first"), F.struct("a", "place", (F.col("kinds") > HOT_CONTEXTS).alias("hot")))
-    marks = marks.groupBy("_row").agg(F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("whole"), F.collect_list(edge).alias("edges"))
+    met, met_path = write_table(spark, anchors.join(repeated, ["a", "c"]), "repeated-places")
+    # A context met several times is repeated as a whole; where its anchor has others, one copy of it is sorted with them.
+    hot = (F.col("kinds") > HOT_CONTEXTS).alias("hot")
+    edge = F.struct("a", "place", hot)
+    whole = F.when(F.col("n") > 1, F.col("place"))
+    own = met.select("_row", whole.alias("whole"), F.when((F.col("n") == 1) & (F.col("kinds") > 1), edge).alias("edge"))
+    copies = met.filter("n > 1 and kinds > 1").groupBy("a", "c").agg(F.min(F.struct("_row", "place", "kinds")).alias("one")).select("a", "one.*")
+    copies = copies.select("_row", F.lit(None).cast("long").alias("whole"), edge.alias("edge"))
+    marks = own.unionByName(copies).groupBy("_row").agg(F.collect_list("whole").alias("whole"), F.collect_list("edge").alias("edges"))
     marked, _ = write_table(spark, rows.join(marks, "_row"), "marked")
     drop_table(spark, repeated_path)
-    del marks, inside, single, several, repeated
+    drop_table(spark, met_path)
+    del marks, own, copies, met, repeated
     _clean_up(spark)
 
     has_edges = F.size("edges") > 0
