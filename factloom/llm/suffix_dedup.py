@@ -44,7 +44,8 @@ from factloom.llm.induced import repeated_windows
 
 WINDOW = 200
 ANCHOR = 64
-HOT_CONTEXTS = 2048
+#: As many contexts of one anchor as a task sorts in about 300 MB.
+HOT_CONTEXTS = 20_000
 SHARD_BYTES = 512 << 10  # what is sorted at once; small enough for a core's cache
 _SEGMENT = 1 << 21  # windows looked at together; positions must fit in 24 bits
 _MULTIPLIER = 0x9E3779B97F4A7C15
