@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 import zlib
@@ -104,6 +105,33 @@ def encoder(path: str) -> WordCachedEncoder:
     return WordCachedEncoder(path)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens, with ids, of the JSON file beside a rank file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("only added tokens that match as they stand are supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+@functools.lru_cache(maxsize=2)
+def text_encoder(path: str) -> Callable[[str], bytes]:
+    """``encoder`` after the text is split at the added tokens, as the tokenizers library does."""
+    encode = encoder(path)
+    added = {word: array("I", [id_]).tobytes() for word, id_ in added_tokens(path).items()}
+    parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def whole(text: str) -> bytes:
+        if any(word in text for word in added):
+            return b"".join([added.get(part) or encode(part) for part in parts.split(text)])
+        return encode(text)
+
+    return whole
+
+
 def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document; only the first may be short."""
     if n_ids <= capacity:
@@ -113,7 +141,7 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool):
-    encode = encoder(path)
+    encode = text_encoder(path)
     end = np.array([end_id], dtype="<u4").tobytes()
     task = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, dtype=np.int64)
