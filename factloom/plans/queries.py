@@ -430,8 +430,8 @@ n AS (SELECT page_id, i - 1 AS place, words[i] AS label FROM l, range(1, 13) r(i
 SELECT page_id, CAST(place AS INTEGER) AS place, label FROM n WHERE (place, label) NOT IN (SELECT (place, label) FROM n GROUP BY place, label HAVING count(DISTINCT page_id) >= 2)
 """)
 def running_margin_pages(spark, sf):
-    """Long words among the first twelve of a page, without those that come back on other pages at the same place."""
-    words = F.slice(F.regexp_extract_all("html", F.lit("[A-Za-z]{9,}"), F.lit(0)), 1, 12)
+    """All long words of a page, without those that come back on other pages at the same place."""
+    words = F.regexp_extract_all("html", F.lit("[A-Za-z]{9,}"), F.lit(0))
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(words).alias("place", "label"))
     return layout.without_running_margins(rows, "label", "page_id", ["place"]).select("page_id", "place", "label")
 
