@@ -62,12 +62,54 @@ def header_fields(cells: list[str]) -> list[str | None]:
     return [known.get(c, (None,))[0] for c in bare]
 
 
+#: Headings of a document, not attributes of a product.
+STRUCTURE_HEADINGS = {
+    "备注", "说明", "注", "注意", "提示", "note", "notes", "description", "参数", "数值", "单位", "字段", "值", "field", "value", "parameter", "unit",
+    "项目", "内容", "主产品", "资料版本", "文档版本", "测试意图", "示例", "样例", "example", "example only",
+    "file name", "filename", "document version", "electrical data", "mechanical data",
+}
+
+
+def may_be_label(cell: str) -> bool:
+    """Whether a cell can name a field that no registry knows."""
+    label = re.sub(r"\s*[\[(（].*[\])）]\s*$", "", re.sub(r"\s+", " ", cell.strip())).lower()
+    if not re.fullmatch(r"[a-z0-9\u3400-\u9fff][a-z0-9\u3400-\u9fff _/()（）%+°.\-]{0,63}", label) or not re.search(r"[a-z\u3400-\u9fff]", label):
+        return False
+    if label[0].isdigit() and not re.match(r"\d+(?:\.\d+)?\s*(?:°[cf]|%)\s*[a-z\u3400-\u9fff]", label):
+        return False
+    pointer = r"(?:please\s+)?(?:refer\s+to|see\s+)|(?:figure|fig\.?|table)\s+(?:\d|context\s+line\s+\d)|[图表]\s*\d+|(?:.*\s)?https?$"
+    return label not in STRUCTURE_HEADINGS and not re.match(pointer, label)
+
+
+def header_row(rows: list[list[str]]) -> int | None:
+    """The first row with two known fields, else the first of labels only with an identity among them or numbers below."""
+    pairs = [[re.sub(r"\s+", " ", c.strip()).lower() for c in r] for r in rows if len(r) == 2]
+    if any(a in ("字段", "参数", "field", "parameter") and b in ("值", "数值", "value") for a, b in pairs):
+        return None
+    found = [header_fields(r) for r in rows]
+    known = next((k for k, fields in enumerate(found) if len({f for f in fields if f}) >= 2), None)
+    if known is not None:
+        return known
+    for k, (row, below) in enumerate(zip(rows, rows[1:], strict=False)):
+        if len(row) < 2 or any(re.search(r"\d", c) and not f for c, f in zip(row, found[k], strict=True)):
+            continue
+        named = any(f in ("sku", "model", "variant") for f in found[k])
+        over_values = (
+            len(row) == len(below) and not re.search(r"\d", "".join(row)) and not found[k + 1][0]
+            and any(re.match(r"\s*[-+≤≥<>]?\d", c) for c in below)
+        )
+        labels = [re.sub(r"\s+", " ", c.strip()).lower() for c in row]
+        if (named or over_values) and all(f or may_be_label(c) for c, f in zip(row, found[k], strict=True)):
+            return k if len(set(labels)) == len(labels) else None
+    return None
+
+
 def bind_rows(rows: list[list[str]], kind: str) -> Iterator[dict]:
     """Cells of a table as parameters.
 
-    Matrix tables are read the way they run.  Else a header with two known
-    fields makes every cell below a parameter of its row's product, and without
-    one, rows are joined cells.  Reference tables stay plain rows.
+    Matrix tables are read the way they run.  Else a header (see ``header_row``)
+    makes every cell below a parameter of its row's product, and without one,
+    rows are joined cells.  Reference tables stay plain rows.
     """
     how, cells = bind_table(rows)
     if how in ("parameter", "model"):
@@ -81,7 +123,7 @@ def bind_rows(rows: list[list[str]], kind: str) -> Iterator[dict]:
             for name, value in identity.items():
                 yield _block(f"{name}: {value}", f"{kind}_row", {"owner": n}, atomic=True, row_id=json.dumps(identity, sort_keys=True, ensure_ascii=False))
         return
-    head = None if how == "reference" else next((k for k, r in enumerate(rows[:20]) if sum(f is not None for f in header_fields(r)) >= 2), None)
+    head = None if how == "reference" else header_row(rows)
     names = header_fields(rows[head]) if head is not None else []
     for n, row in enumerate(rows, 1):
         cells = [c.strip() for c in row]
@@ -157,6 +199,18 @@ def read_sidecar(text: str) -> Iterator[dict]:
             yield _block(str(block["text"]).strip(), "image_ocr", {"bbox": block.get("bbox")}, recognition_confidence=sure)
 
 
+def _declares(archive: zipfile.ZipFile, name: str) -> bool:
+    """Whether a part holds a document type or an entity, in UTF-8 or UTF-16, wherever it stands."""
+    with archive.open(name) as part:
+        tail = b""
+        while chunk := part.read(1 << 16):
+            text = (tail + chunk).replace(b"\0", b"").upper()
+            if b"<!DOCTYPE" in text or b"<!ENTITY" in text:
+                return True
+            tail = (tail + chunk)[-32:]
+    return False
+
+
 def safe_archive(content: bytes, most_bytes: int = 256 << 20, most_files: int = 4096) -> zipfile.ZipFile:
     """An office archive, unless it is a bomb, holds macros, a document type or a path twice."""
     archive = zipfile.ZipFile(io.BytesIO(content))
@@ -165,7 +219,7 @@ def safe_archive(content: bytes, most_bytes: int = 256 << 20, most_files: int =
         raise ValueError("archive_too_large")
     if len(set(names)) < len(names) or any(n.lower().endswith("vbaproject.bin") or n.startswith("/") or ".." in n.split("/") for n in names):
         raise ValueError("archive_not_safe")
-    if any(b"<!DOCTYPE" in archive.read(n)[:4096] for n in names if n.endswith((".xml", ".rels"))):
+    if any(_declares(archive, n) for n in names if n.lower().endswith((".xml", ".rels"))):
         raise ValueError("document_type")
     return archive
 
