@@ -42,10 +42,18 @@ def inside(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, top: Co
     return (x0 >= left) & (y0 >= top) & (x1 <= right) & (y1 <= bottom)
 
 
-def contained(words: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """Pairs of a word (x0, y0, x1, y1) and a box (left, top, right, bottom) around it, within ``key``."""
+def contained(words: DataFrame, boxes: DataFrame, key: str, cell: float) -> DataFrame:
+    """Pairs of a word (x0, y0, x1, y1) and a box (left, top, right, bottom) around it, within ``key``.
+
+    They meet in grid cells of side ``cell``: a word in that of its corner, a box in all it covers.
+    """
     c = F.col
-    return words.join(boxes, key).filter(inside(c("x0"), c("y0"), c("x1"), c("y1"), c("left"), c("top"), c("right"), c("bottom")))
+    at = lambda x: F.floor(x.cast("double") / cell)
+    placed = words.withColumns({"_column": at(c("x0")), "_row": at(c("y0"))})
+    spread = boxes.filter((c("left") <= c("right")) & (c("top") <= c("bottom"))).withColumn("_column", F.explode(F.sequence(at(c("left")), at(c("right")))))
+    spread = spread.withColumn("_row", F.explode(F.sequence(at(c("top")), at(c("bottom")))))
+    pairs = placed.join(spread, [key, "_column", "_row"]).drop("_column", "_row")
+    return pairs.filter(inside(c("x0"), c("y0"), c("x1"), c("y1"), c("left"), c("top"), c("right"), c("bottom")))
 
 
 def union_box(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -417,11 +417,11 @@ SELECT w.vec_id AS word_id, b.vec_id AS box_id FROM embeddings w JOIN embeddings
 WHERE w.embedding[1] >= b.embedding[1] AND w.embedding[2] >= b.embedding[2] AND w.embedding[1] <= b.embedding[1] + 0.2 AND w.embedding[2] <= b.embedding[2] + 0.2
 """)
 def bbox_contain(spark, sf):
-    """Words in the boxes of their page (every tenth vector is a box)."""
+    """Words in the boxes of their page (every vector is a word and a box)."""
     e, t = F.col("embedding"), table(spark, sf, "embeddings")
     words = t.select("label", F.col("vec_id").alias("word_id"), e[0].alias("x0"), e[1].alias("y0"), e[0].alias("x1"), e[1].alias("y1"))
-    boxes = t.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("box_id"), e[0].alias("left"), e[1].alias("top"), (e[0] + F.lit(0.2)).alias("right"), (e[1] + F.lit(0.2)).alias("bottom"))
-    return layout.contained(words, boxes, "label").select("word_id", "box_id")
+    boxes = t.select("label", F.col("vec_id").alias("box_id"), e[0].alias("left"), e[1].alias("top"), (e[0] + F.lit(0.2)).alias("right"), (e[1] + F.lit(0.2)).alias("bottom"))
+    return layout.contained(words, boxes, "label", 0.2).select("word_id", "box_id")
 
 
 @query(r"""
