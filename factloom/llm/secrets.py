@@ -154,17 +154,17 @@ def is_signed_token(run: str) -> bool:
         return False
 
 
-def confirmed_kind(data: bytes | None, depth: int = 2) -> str | None:
-    """What decoded bytes are, if they are secret material."""
+def confirmed_kind(data: bytes | None, as_text: bool = True) -> str | None:
+    """What decoded bytes are, if they are secret material; ``as_text`` also looks for secrets in printable text."""
     if not data:
         return None
     if data[0] == 0x30 and is_der_private_key(data):
         return "der"
     if is_openssh_private_key(data):
         return "openssh"
-    if depth and all(b in _PRINTABLE for b in data):
+    if as_text and all(b in _PRINTABLE for b in data):
         text = data.decode("ascii")
-        if any(k != "hex" for _, k, _ in base_spans(text)) or confirmed_spans(text, depth - 1):
+        if base_spans(text) or confirmed_spans(text):
             return "encoded"
     return None
 
@@ -172,7 +172,7 @@ def confirmed_kind(data: bytes | None, depth: int = 2) -> str | None:
 _PRINTABLE = frozenset(range(0x20, 0x7F)) | {9, 10, 13}
 
 
-def confirmed_spans(text: str, depth: int = 2) -> list[tuple[int, str, int]]:
+def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "eyJ" in text:
         found += [(m.start(), "token", m.end()) for m in _token.finditer(text) if is_signed_token(m[0])]
@@ -180,14 +180,14 @@ def confirmed_spans(text: str, depth: int = 2) -> list[tuple[int, str, int]]:
         for m in _pem.finditer(text):
             lines = [x for x in m[2].split("\n") if ":" not in x]
             data = decode64("".join("".join(lines).split()))
-            if confirmed_kind(data, 0) or (":" in m[2] and "PRIVATE" in m[1] and data):
+            if confirmed_kind(data, as_text=False) or (":" in m[2] and "PRIVATE" in m[1] and data):
                 found.append((m.start(), "pem", m.end()))
     blocks = [(a, b) for a, k, b in found if k in ("pem", "token")]
     for pattern, decode in ((_b64_run, decode64), (_hex_candidate, _unhex)):
         for m in pattern.finditer(text):
             if any(a < m.end() and m.start() < b for a, b in blocks):
                 continue
-            if kind := confirmed_kind(decode(m[0]), depth):
+            if kind := confirmed_kind(decode(m[0])):
                 found.append((m.start(), kind, m.end()))
     return found
 
