@@ -8,7 +8,8 @@ digits, separators stay; a card passes the Luhn check, an octet stays an octet
 of as many digits, a phone keeps its country code, an address its top-level
 domain.  Name words get words of the same script; given names follow the gender
 of the honorific, surnames don't depend on it, so "Mr Ian Moss" and "Mr Moss"
-stay one person.
+stay one person.  Every other whole-word mention of a word of such a name in the same
+document, written the same way, gets the same surrogate.
 
 Equal entities always get equal surrogates.  Collision checks run over the
 distinct entities of the whole corpus: a surrogate that two entities share, or
@@ -226,7 +227,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _taken_apart(rows: DataFrame) -> DataFrame:
-    """Rows with a match, one line per match and one for the rest: _row, doc_id, pos, gap, value, kind."""
+    """Rows with a match, one line per match and one for the rest: _row, doc_id, pos, gap, value, kind, of (null here)."""
     hit = rows.filter(F.col("text").rlike(_hint))
     parts = hit.select(
         "_row", "doc_id", F.regexp_extract_all("text", F.lit(_any), F.lit(0)).alias("found"), F.split("text", _any, -1).alias("gaps")
@@ -234,18 +235,38 @@ def _taken_apart(rows: DataFrame) -> DataFrame:
     parts = parts.filter(F.size("found") > 0)
     zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.concat("found", F.array(F.lit(None).cast("string"))).alias("value"))
     lines = parts.select("_row", "doc_id", F.posexplode(zipped).alias("pos", "line"))
-    return lines.select("_row", "doc_id", "pos", "line.gap", "line.value", F.when(F.col("line.value").isNotNull(), _kind(F.col("line.value"))).alias("kind"))
+    return lines.select("_row", "doc_id", "pos", "line.gap", "line.value", F.when(F.col("line.value").isNotNull(), _kind(F.col("line.value"))).alias("kind"), F.lit(None).cast("string").alias("of"))
+
+
+def _with_mentions(lines: DataFrame) -> DataFrame:
+    """Lines whose gaps are cut at further mentions of the row's own name words; ``of`` is the kind of the word."""
+    found = _words(lines).filter(F.col("kind").startswith("given ") | (F.col("kind") == "surname"))
+    found = found.groupBy("_row", "value").agg(F.max("kind").alias("kind"))  # a surname, if it is both
+    names = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "kind"))).alias("names"))
+    by_length = F.array_sort(F.map_keys("names"), lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(by_length, "|"), F.lit(r")(?!\p{L})"))
+    cut = lines.join(names.withColumn("pattern", pattern), "_row", "left").withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
+    cut = cut.withColumn("found", F.regexp_extract_all("gap", F.col("pattern"), F.lit(0)))
+    parts = cut.select("_row", "doc_id", "pos", "value", "kind", "names", "found", F.posexplode(F.split("gap", F.col("pattern"), -1)).alias("part", "gap"))
+    more = F.col("part") < F.size("found")
+    mention = F.when(more, F.get("found", "part"))
+    return parts.select(
+        "_row", "doc_id", (F.col("pos").cast("long") * (1 << 32) + F.col("part")).alias("pos"), "gap",
+        F.when(more, mention).otherwise(F.col("value")).alias("value"), F.when(more, "name").otherwise(F.col("kind")).alias("kind"),
+        F.when(more, F.element_at("names", mention)).alias("of"),
+    )
 
 
 def _words(lines: DataFrame) -> DataFrame:
     """Matches as parts that have surrogates of their own: names by word, all else whole."""
     title = F.regexp_extract("value", rf"^({_honorific})", 1)
     gender = F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
-    names = F.when(F.col("kind") == "name", F.split("value", " ")).otherwise(F.array("value"))
-    parts = lines.filter("kind is not null").select("_row", "pos", "kind", gender.alias("gender"), F.size(names).alias("n"), F.posexplode(names).alias("part", "value"))
+    names = F.when((F.col("kind") == "name") & F.col("of").isNull(), F.split("value", " ")).otherwise(F.array("value"))
+    parts = lines.filter("kind is not null").select("_row", "pos", "kind", "of", gender.alias("gender"), F.size(names).alias("n"), F.posexplode(names).alias("part", "value"))
     is_name = F.col("kind") == "name"
     kind = (
         F.when(~is_name, F.col("kind"))
+        .when(F.col("of").isNotNull(), F.col("of"))
         .when(F.col("part") == 0, F.lit(None))
         .when(F.col("part") == F.col("n") - 1, "surname")
         .otherwise(F.concat(F.lit("given "), F.col("gender")))
@@ -257,7 +278,9 @@ def replace_personal_data(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col:
     """One row per input row: doc_id, n_entities, spans (kind:start:end in the original text), text with surrogates."""
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col)
-    lines, _ = write_table(spark, _taken_apart(rows), "entities")
+    apart, apart_path = write_table(spark, _taken_apart(rows), "entities")
+    lines, _ = write_table(spark, _with_mentions(apart), "mentions")
+    drop_table(spark, apart_path)
     words = _words(lines)
     known = surrogates(words.filter("kind is not null").groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one"), key)
     named = words.filter("kind is not null").join(known, ["kind", "value"]).select("_row", "pos", "part", "surrogate")
