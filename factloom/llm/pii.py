@@ -1,25 +1,31 @@
 """Personal data: surrogate generation, in DataFrame operations only.
 
-Detected entities (e-mail addresses, IPv4 addresses, payment cards that pass
-the Luhn check, phone numbers, US social security numbers, and names after an
-honorific) are replaced by surrogates derived from a keyed SHA-256.  A
-surrogate keeps type and format: letters stay letters of their case, digits
-digits, separators stay; a card passes the Luhn check, an octet stays an octet
-of as many digits, a phone keeps its country code, an address its top-level
-domain.  Name words get words of the same script; given names follow the gender
-of the honorific, surnames don't depend on it, so "Mr Ian Moss" and "Mr Moss"
-stay one person.  Every other whole-word mention of a word of such a name in the same
-document, written the same way, gets the same surrogate.
+Detected entities (e-mail addresses, IPv4 addresses, IBANs whose check digits
+hold, payment cards that pass the Luhn check, phone numbers, US social security
+numbers, and names after an honorific) are replaced by surrogates derived from a
+keyed SHA-256.  A surrogate keeps type and format: letters stay letters of their
+case, digits digits, separators stay; a card passes the Luhn check, an IBAN its
+own, an octet stays an octet of as many digits, a phone keeps its country code,
+an address its top-level domain.  Name words get words of the same script.
+
+A given name is an entity with its gender, which is the person's, not the
+honorific's: after a neutral honorific, or mentioned alone, a given name has the
+gender that the document's honorifics give it, else the corpus' honorifics, if
+that is a single one.  Every other whole-word mention of a word of such a name
+in the same document, written the same way, gets the same surrogate.  So
+"Dr Ian Moss", "Mr Ian Moss", "Mr Moss" and "Moss" stay one person.
 
 Equal entities always get equal surrogates.  Collision checks run over the
-distinct entities of the whole corpus: a surrogate that two entities share, or
-that is itself an entity of the corpus, is derived anew for the losers until
-none is left.  After some attempts formats widen, so this ends.
+distinct entities of the whole corpus: a surrogate that two entities of a class
+(all names are one) share, or that is itself an entity of the corpus, is derived
+anew for the losers until none is left.  After some attempts formats widen, so this ends.
 
-Scale: only documents with an entity are taken apart; all others pass through
-without a shuffle.  Entities are joined to their surrogates by a sort-merge
-join that adaptive execution splits when one entity is everywhere; what is
-gathered per row is bounded by that one document.
+Scale: only documents with an entity are taken apart, each within its own row;
+all others pass through without a shuffle.  Distinct entities are made by
+partial aggregation and dealt over all tasks.  Uses are joined to them by a
+sort-merge join between plain shuffles, which adaptive execution splits when one
+entity is everywhere.  The text is shuffled once, to meet its surrogates; what
+is gathered per row is bounded by that one document.
 
 Defined results: null text counts as empty; repeated rows are handled alike; an
 empty table gives no rows; columns other than id and text are ignored.
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import documents, drop_table, rows_of, write_table
@@ -59,6 +65,7 @@ _honorific = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda x: (-le
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "ip": rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2[2-7][0-9]{2}|6(?:011|5[0-9]{2}|4[4-9][0-9]))"
     r"(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{13})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -86,12 +93,23 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda total, i: total + weigh(i))
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder of an IBAN (without spaces): 1 if its check digits hold."""
+    turned = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))
+
+    def feed(rest: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), feed)
+
+
 def _kind(value: Column) -> Column:
-    """The kind of a match; null for a card number that fails the Luhn check."""
+    """The kind of a match; null for a card number or an IBAN whose check digits fail."""
     card = value.rlike(f"^(?:{PATTERNS['card']})$")
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(f"^{_octet}(?:\\.{_octet}){{3}}$"), "ip")
+        .when(value.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_mod97(F.replace(value, F.lit(" "))) == 1, "iban"))
         .when(card, F.when(F.when(card, _luhn_sum(_digits(value))) % 10 == 0, "card"))
         .when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(value.rlike(r"^\p{L}"), "name")
@@ -167,6 +185,12 @@ def _card(value: Column, stream: Column, attempt: Column) -> Column:
     return F.when(value.contains(" "), split(" ")).when(value.contains("-"), split("-")).otherwise(plain)
 
 
+def _iban(value: Column, stream: Column, attempt: Column) -> Column:
+    body = F.concat(_shaped(F.substring(value, F.lit(5), F.length(value)), stream), _more_digits(stream, attempt))
+    plain = F.concat(F.substring(value, 1, 2), F.lit("00"), F.replace(body, F.lit(" ")))
+    return F.concat(F.substring(value, 1, 2), F.lpad((98 - _mod97(plain)).cast("string"), 2, "0"), body)
+
+
 def _word(value: Column, kind: Column, stream: Column, attempt: Column) -> Column:
     """A name word of the same script; given names end after their gender."""
 
@@ -189,6 +213,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     return (
         F.when(kind == "email", _email(value, key, attempt))
         .when(kind == "ip", _ip(value, stream, attempt))
+        .when(kind == "iban", _iban(value, stream, attempt))
         .when(kind == "card", _card(value, stream, attempt))
         .when(kind == "phone", F.concat(phone, _more_digits(stream, attempt)))
         .when(kind == "ssn", F.concat(_shaped(value, stream), _more_digits(stream, attempt)))
@@ -196,25 +221,34 @@ def _surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column
     )
 
 
+def _class(kind: Column) -> Column:
+    return F.when(kind.startswith("given ") | (kind == "surname"), "name").otherwise(kind)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): one-to-one in a kind, and no surrogate is a value of it."""
+    """(kind, value, surrogate) for distinct (kind, value): one-to-one in a class of kinds, and no surrogate is a value of it."""
     spark = entities.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     now = entities.withColumn("attempt", F.lit(0))
     path = ""
     for _ in range(MOST_ATTEMPTS):
-        made = now.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
+        # Hashing is what costs here, and rows are small: a fixed count keeps them from being put into one task.
+        made = now.repartition(tasks, "kind", "value").withColumn("class", _class(F.col("kind")))
+        made = made.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         made, made_path = write_table(spark, made, "surrogates")
         if path:
             drop_table(spark, path)
         path = made_path
         # The one that keeps a shared surrogate: of the fewest attempts, then the least hash.
-        rank = F.struct((-F.col("attempt")).alias("a"), F.sha2(F.concat(F.lit(key), F.col("value")), 256).alias("h"), F.col("value").alias("v"))
-        shared = made.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("winner")).filter("n > 1")
-        losers = made.join(shared, ["kind", "surrogate"]).filter(F.col("value") != F.col("winner.v")).select("kind", "value")
-        real = made.select("kind", F.col("value").alias("surrogate"))
-        losers = losers.unionAll(made.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct()
+        own = F.struct("kind", "value").alias("own")
+        rank = F.struct((-F.col("attempt")).alias("a"), F.sha2(F.concat(F.lit(key), F.col("value")), 256).alias("h"), own)
+        shared = made.groupBy("class", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("winner")).filter("n > 1")
+        losers = made.join(shared, ["class", "surrogate"]).filter(F.struct("kind", "value") != F.col("winner.own")).select("kind", "value")
+        real = made.select("class", F.col("value").alias("surrogate"))
+        losers = losers.unionAll(made.join(real, ["class", "surrogate"], "left_semi").select("kind", "value")).distinct()
         losers, losers_path = write_table(spark, losers, "collisions")
         if losers.isEmpty():
+            drop_table(spark, losers_path)
             return made.select("kind", "value", "surrogate")
         again = losers.withColumn("more", F.lit(1))
         now = made.join(again, ["kind", "value"], "left").select(
@@ -225,80 +259,119 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 # ----------------------------------------------------------------- operators
 
+#: How a document's map from entity to surrogate is keyed.
+_MARK = "\x1f"
+_PARTS = "array<struct<kind:string,value:string>>"
+
+
+def _named_words(found: Column) -> Column:
+    """The words of a document's names after an honorific: (word, role, gender); a single word has a role of its own."""
+
+    def of(f: Column) -> Column:
+        words = F.split(f["value"], " ")
+        title = F.regexp_extract(f["value"], rf"^({_honorific})", 1)
+        gender = F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
+        role = lambda i: F.when(F.size(words) == 2, "single").when(i < F.size(words) - 2, "given").otherwise("surname")
+        return F.transform(F.slice(words, 2, 8), lambda w, i: F.struct(w.alias("word"), role(i).alias("role"), gender.alias("gender")))
+
+    return F.flatten(F.transform(F.filter(found, lambda f: f["kind"] == "name"), of))
+
+
+def _name_kind(word: Column, role: Column, gender: Column, names: Column) -> Column:
+    """given male, given female, given any (not known in this document) or surname; ``role`` may be "mention"."""
+    same = F.filter(names, lambda n: n["word"] == word)
+    given = F.exists(same, lambda n: n["role"] == "given")
+    surname = F.exists(same, lambda n: n["role"] == "surname")
+    genders = F.filter(same, lambda n: (n["gender"] != "any") & ((n["role"] == "given") | ((n["role"] == "single") & ~surname)))
+    genders = F.array_distinct(F.transform(genders, lambda n: n["gender"]))
+    known = F.when(gender != "any", gender).when(F.size(genders) == 1, F.element_at(genders, 1)).otherwise("any")
+    return F.when((role == "given") | ((role != "surname") & given & ~surname), F.concat(F.lit("given "), known)).otherwise("surname")
+
 
 def _taken_apart(rows: DataFrame) -> DataFrame:
-    """Rows with a match, one line per match and one for the rest: _row, doc_id, pos, gap, value, kind, of (null here)."""
+    """Rows with a match: _row, doc_id, lines (gap, value, kind, parts) in order.
+
+    A line's text is its gap, then its value.  Parts are what has surrogates of
+    its own, a name's words or the whole value; titles have no kind.
+    """
     hit = rows.filter(F.col("text").rlike(_hint))
-    parts = hit.select(
-        "_row", "doc_id", F.regexp_extract_all("text", F.lit(_any), F.lit(0)).alias("found"), F.split("text", _any, -1).alias("gaps")
-    )
-    parts = parts.filter(F.size("found") > 0)
-    zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.concat("found", F.array(F.lit(None).cast("string"))).alias("value"))
-    lines = parts.select("_row", "doc_id", F.posexplode(zipped).alias("pos", "line"))
-    return lines.select("_row", "doc_id", "pos", "line.gap", "line.value", F.when(F.col("line.value").isNotNull(), _kind(F.col("line.value"))).alias("kind"), F.lit(None).cast("string").alias("of"))
-
-
-def _with_mentions(lines: DataFrame) -> DataFrame:
-    """Lines whose gaps are cut at further mentions of the row's own name words; ``of`` is the kind of the word."""
-    found = _words(lines).filter(F.col("kind").startswith("given ") | (F.col("kind") == "surname"))
-    found = found.groupBy("_row", "value").agg(F.max("kind").alias("kind"))  # a surname, if it is both
-    names = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "kind"))).alias("names"))
-    by_length = F.array_sort(F.map_keys("names"), lambda a, b: F.length(b) - F.length(a))
+    found = hit.select("_row", "doc_id", "text", F.regexp_extract_all("text", F.lit(_any), F.lit(0)).alias("found"))
+    found = found.filter(F.size("found") > 0).withColumn("gaps", F.split("text", _any, -1)).drop("text")
+    kinds = F.transform("found", lambda v: F.struct(v.alias("value"), _kind(v).alias("kind")))
+    found = found.select("_row", "doc_id", "gaps", kinds.alias("found"))
+    found = found.withColumn("names", _named_words(F.col("found")))
+    words = F.array_distinct(F.transform("names", lambda n: n["word"]))
+    by_length = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(by_length, "|"), F.lit(r")(?!\p{L})"))
-    cut = lines.join(names.withColumn("pattern", pattern), "_row", "left").withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
-    cut = cut.withColumn("found", F.regexp_extract_all("gap", F.col("pattern"), F.lit(0)))
-    parts = cut.select("_row", "doc_id", "pos", "value", "kind", "names", "found", F.posexplode(F.split("gap", F.col("pattern"), -1)).alias("part", "gap"))
-    more = F.col("part") < F.size("found")
-    mention = F.when(more, F.get("found", "part"))
-    return parts.select(
-        "_row", "doc_id", (F.col("pos").cast("long") * (1 << 32) + F.col("part")).alias("pos"), "gap",
-        F.when(more, mention).otherwise(F.col("value")).alias("value"), F.when(more, "name").otherwise(F.col("kind")).alias("kind"),
-        F.when(more, F.element_at("names", mention)).alias("of"),
-    )
-
-
-def _words(lines: DataFrame) -> DataFrame:
-    """Matches as parts that have surrogates of their own: names by word, all else whole."""
-    title = F.regexp_extract("value", rf"^({_honorific})", 1)
-    gender = F.when(title.isin(*MALE), "male").when(title.isin(*FEMALE), "female").otherwise("any")
-    names = F.when((F.col("kind") == "name") & F.col("of").isNull(), F.split("value", " ")).otherwise(F.array("value"))
-    parts = lines.filter("kind is not null").select("_row", "pos", "kind", "of", gender.alias("gender"), F.size(names).alias("n"), F.posexplode(names).alias("part", "value"))
-    is_name = F.col("kind") == "name"
-    kind = (
-        F.when(~is_name, F.col("kind"))
-        .when(F.col("of").isNotNull(), F.col("of"))
-        .when(F.col("part") == 0, F.lit(None))
-        .when(F.col("part") == F.col("n") - 1, "surname")
-        .otherwise(F.concat(F.lit("given "), F.col("gender")))
-    )
-    return parts.select("_row", "pos", "part", "value", kind.alias("kind"))
+    none = F.lit(None).cast("struct<value:string,kind:string>")
+    whole = F.arrays_zip(F.col("gaps").alias("gap"), F.concat("found", F.array(none)).alias("f"))
+    found = found.select("_row", "doc_id", "names", whole.alias("whole"), F.when(F.size("names") > 0, pattern).alias("pattern"))
+
+    def line(gap: Column, value: Column, kind: Column, parts: Column) -> Column:
+        return F.struct(gap.alias("gap"), value.alias("value"), kind.alias("kind"), parts.cast(_PARTS).alias("parts"))
+
+    def itself(x: Column) -> Column:
+        value, kind = x["f"]["value"], x["f"]["kind"]
+        plain = F.when(kind.isNotNull(), F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+        return line(x["gap"], value, kind, plain)
+
+    def part(word: Column, kind: Column) -> Column:
+        return F.struct(kind.cast("string").alias("kind"), word.alias("value"))
+
+    def cut(x: Column) -> Column:
+        """A gap cut at further mentions of the document's names, then the match itself."""
+        names, value, kind = F.col("names"), x["f"]["value"], x["f"]["kind"]
+        pieces = F.arrays_zip(F.split(x["gap"], F.col("pattern"), -1).alias("gap"), F.regexp_extract_all(x["gap"], F.col("pattern"), F.lit(0)).alias("m"))
+        mention = lambda m: F.array(part(m, _name_kind(m, F.lit("mention"), F.lit("any"), names)))
+        mentions = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: line(p["gap"], p["m"], F.lit("name"), mention(p["m"])))
+        own = _named_words(F.array(x["f"]))
+        title = part(F.element_at(F.split(value, " "), 1), F.lit(None))
+        spelt = F.concat(F.array(title), F.transform(own, lambda n: part(n["word"], _name_kind(n["word"], n["role"], n["gender"], names))))
+        parts = F.when(kind == "name", spelt).when(kind.isNotNull(), F.array(part(value, kind)))
+        return F.concat(mentions, F.array(line(F.element_at(pieces, -1)["gap"], value, kind, parts)))
+
+    lines = F.when(F.col("pattern").isNotNull(), F.flatten(F.transform("whole", cut))).otherwise(F.transform("whole", itself))
+    return found.select("_row", "doc_id", lines.alias("lines"))
+
+
+def _known(distinct: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate); a given name of no gender takes that of the only gender the corpus gives it."""
+    gendered = distinct.filter(F.col("kind").isin("given male", "given female")).groupBy("value")
+    single = gendered.agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("as")).filter("n = 1").select(F.lit("given any").alias("kind"), "value", "as")
+    of, _ = write_table(distinct.sparkSession, distinct.join(single, ["kind", "value"], "left"), "entities")
+    made = surrogates(of.filter("as is null").select("kind", "value"), key)
+    same = of.filter("as is not null").join(made.withColumnRenamed("kind", "as"), ["as", "value"]).select("kind", "value", "surrogate")
+    return made.unionByName(same)
 
 
 def replace_personal_data(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_entities, spans (kind:start:end in the original text), text with surrogates."""
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col)
-    apart, apart_path = write_table(spark, _taken_apart(rows), "entities")
-    lines, _ = write_table(spark, _with_mentions(apart), "mentions")
-    drop_table(spark, apart_path)
-    words = _words(lines)
-    known = surrogates(words.filter("kind is not null").groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one"), key)
-    named = words.filter("kind is not null").join(known, ["kind", "value"]).select("_row", "pos", "part", "surrogate")
-    titles = words.filter("kind is null").select("_row", "pos", "part", F.col("value").alias("surrogate"))
-    whole = named.unionAll(titles).groupBy("_row", "pos").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate"))).alias("parts"))
-    whole = whole.select("_row", "pos", F.array_join("parts.surrogate", " ").alias("surrogate"))
-    placed = lines.join(whole, ["_row", "pos"], "left")
-    before = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("gap") + F.coalesce(F.length("value"), F.lit(0))
-    placed = placed.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("gap"))
-    span = F.when(F.col("kind").isNotNull(), F.concat_ws(":", "kind", "start", F.col("start") + F.length("value")))
-    text = F.concat("gap", F.coalesce("surrogate", "value", F.lit("")))
-    rebuilt = placed.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.count("kind").alias("n_entities"),
-        F.sort_array(F.collect_list(F.struct("pos", span.alias("span"), text.alias("text")))).alias("lines"),
-    )
-    rebuilt = rebuilt.select("doc_id", "n_entities", F.array_join("lines.span", ",").alias("spans"), F.array_join("lines.text", "").alias("text"))
+    apart, _ = write_table(spark, _taken_apart(rows), "taken-apart")
+    uses = apart.select("_row", F.explode("lines").alias("l")).select("_row", F.explode("l.parts").alias("p")).filter("p.kind is not null").select("_row", "p.*")
+    known = _known(uses.groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one"), key)
+    entry = F.struct(F.concat("kind", F.lit(_MARK), "value").alias("key"), F.col("surrogate").alias("value"))
+    named = uses.distinct().join(known, ["kind", "value"])
+    named = named.groupBy("_row").agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    placed = apart.join(named, "_row", "left")
+
+    def replaced(x: Column) -> Column:
+        new = F.transform(x["parts"], lambda p: F.coalesce(F.element_at("known", F.concat(p["kind"], F.lit(_MARK), p["value"])), p["value"]))
+        return F.concat(x["gap"], F.when(x["parts"].isNotNull(), F.array_join(new, " ")).otherwise(F.coalesce(x["value"], F.lit(""))))
+
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+
+    def place(state: Column, x: Column) -> Column:
+        span = F.concat_ws(":", x["kind"], state["at"] + F.length(x["gap"]), state["at"] + size(x))
+        more = F.when(x["kind"].isNotNull(), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct((state["at"] + size(x)).alias("at"), more.alias("spans"))
+
+    n = F.size(F.filter("lines", lambda x: x["kind"].isNotNull())).cast("long")
+    spans = F.array_join(F.aggregate("lines", start, place)["spans"], ",")
+    text = F.array_join(F.transform("lines", replaced), "")
+    rebuilt = placed.select("doc_id", n.alias("n_entities"), spans.alias("spans"), text.alias("text"))
     clean = rows.filter(~F.col("text").rlike(_hint) | (F.when(F.col("text").rlike(_hint), F.regexp_count("text", F.lit(_any))) == 0))
     return rebuilt.unionByName(clean.select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("spans"), "text"))
 
