@@ -6,21 +6,24 @@ equal windows have the same anchor at the same place; a run of windows with one
 anchor is a context.  Windows can only be equal below the same anchor, so each
 anchor's contexts are a part of the suffix array that can be sorted alone.
 
-1. Count contexts by (anchor, context).  Anchors met once are done.  Contexts
-   met more than once are repeated as a whole (their digest has 128 bits with
-   the anchor's).
-2. Of anchors with several different contexts one copy of each goes to the
-   shard of its anchor, where an external induced sort (``induced``) puts the
-   suffixes in order and neighbours with N common bytes are found.  A shard is
-   sorted in portions of whole anchors, and its queues spill to disk.
-3. An anchor with more than ``HOT_CONTEXTS`` different contexts would be one
-   task's burden.  Its windows are named by 128-bit digests and counted, which
-   combines before the shuffle and splits over all tasks.
+1. Count contexts by (anchor, context).  Anchors met once are done: their windows
+   occur nowhere else.  A context met more than once is repeated as a whole, and
+   one copy of it stands for all in what follows.  Contexts travel under digests;
+   that equal digests mean equal bytes is proved by counting the different bytes
+   of all that was met more than once.  Should two ever share a digest, all
+   starts again with another one.
+2. Contexts of an anchor with several different ones go to the shard of their
+   anchor, where ``induced`` sorts their suffixes by recursive external
+   induction.  Neighbours whose carried common prefix reaches N are repeats.  A
+   shard is sorted in portions of whole anchors.
+3. An anchor with more than ``HOT_CONTEXTS`` different contexts is parted: a
+   window reaches half of the free bytes beyond the anchor either to its left or
+   to its right, so that longer anchor, and the windows that have it, is a part
+   of its own, treated like step 1.  Parts are parted again until they are small;
+   after at most eight times an anchor is a whole window, and equal windows are
+   one context.  So a shard is bounded whatever the corpus repeats.
 4. The found runs are united per document, and the rest is kept.
 
-Common prefixes are not carried through the queues: neighbours are compared
-after sorting, up to N bytes.
-
 Defined results: texts are bytes of UTF-8; null counts as empty; matches never
 cross documents, overlaps count, and strings are judged on the input; repeated
 rows are copies of each other; texts under N bytes are kept; an empty table
@@ -40,12 +43,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import documents, drop_table, rows_of, write_table
-from factloom.llm.induced import repeated_windows
+from factloom.llm.induced import Shard
 
 WINDOW = 200
 ANCHOR = 64
-#: As many contexts of one anchor as a task sorts in about 300 MB.
-HOT_CONTEXTS = 20_000
+#: Different contexts of one anchor in one shard; an anchor with more is parted.
+HOT_CONTEXTS = 2048
+SEEDS = 16
+#: Bits of the digests of contexts; tests lower those of the first attempt.
+FIRST_DIGEST_BITS = DIGEST_BITS = 64
 SHARD_BYTES = 512 << 10  # what is sorted at once; small enough for a core's cache
 _SEGMENT = 1 << 21  # windows looked at together; positions must fit in 24 bits
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -61,29 +67,26 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of two odd multipliers and of their inverses modulo 2**64."""
-    n = _SEGMENT + 4096
+@functools.lru_cache(maxsize=2)
+def _powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse modulo 2**64."""
+    p = _MULTIPLIER if not seed else int(_mix(np.array([seed], dtype=np.uint64))[0]) | 5
     out = []
-    for p in (_MULTIPLIER, 0xD1342543DE82EF95):
-        for q in (p, pow(p, -1, 1 << 64)):
-            powers = np.full(n, np.uint64(q))
-            powers[0] = 1
-            out.append(np.multiply.accumulate(powers))
+    for q in (p, pow(p, -1, 1 << 64)):
+        powers = np.full(_SEGMENT + 4096, np.uint64(q))
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
     return tuple(out)
 
 
-_byte_values = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER), s) for s in (1, 2)]
-
-
 class Rolling:
     """Digests of any stretch of a buffer."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        powers, self._inverse = _powers()[2 * which : 2 * which + 2]
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        powers, self._inverse = _powers(seed)
+        values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER), seed + 1)
         self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_byte_values[which][data] * powers[: len(data)], out=self._sums[1:])
+        np.cumsum(values[data] * powers[: len(data)], out=self._sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self._sums[start + length] - self._sums[start]) * self._inverse[start]
@@ -92,7 +95,13 @@ class Rolling:
 # -------------------------------------------------------------- anchors
 
 
-def anchored_runs(data: np.ndarray, doc: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _context_digest(rolling: Rolling, first, last, at, length, window: int, bits: int) -> np.ndarray:
+    """Of the bytes of a run of windows and of where its anchor lies."""
+    shape = ((last - first) << 16 | (at - first) << 8 | length).astype(np.uint64)
+    return _mix(rolling.of(first, last - first + window) ^ _mix(shape, 3), 5) >> np.uint64(64 - bits)
+
+
+def anchored_runs(data: np.ndarray, doc: np.ndarray, window: int, anchor: int, seed: int = 0, bits: int = DIGEST_BITS) -> tuple[np.ndarray, ...]:
     """(first window, last window, anchor place, anchor digest, context digest) of every run of windows with one anchor.
 
     ``doc`` numbers the text of each byte; windows don't cross texts.
@@ -101,7 +110,7 @@ def anchored_runs(data: np.ndarray, doc: np.ndarray, window: int, anchor: int) -
     n, span = len(data) - window + 1, window - anchor + 1
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    rolling = Rolling(data)
+    rolling = Rolling(data, seed)
     places = np.arange(len(data) - anchor + 1)
     digest = _mix(rolling.of(places, anchor))
     value = (digest >> np.uint64(24) << np.uint64(24)) | places.astype(np.uint64)
@@ -119,8 +128,7 @@ def anchored_runs(data: np.ndarray, doc: np.ndarray, window: int, anchor: int) -
     first = starts[new]
     last = starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]]
     at = place[first]
-    shape = ((last - first) << 8 | (at - first)).astype(np.uint64)
-    context = _mix(rolling.of(first, last - first + window) ^ _mix(shape, 3), 5)
+    context = _context_digest(rolling, first, last, at, anchor, window, bits)
     return first, last, at, digest[at], context
 
 
@@ -154,40 +162,121 @@ def _encoded(texts: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int):
-    """_row, place (first << 16 | last - first << 8 | anchor - first), a, c."""
+# A place packs a context: first window << 24 | last - first << 16 | anchor - first << 8 | bytes of the anchor.
+
+
+def _unpacked(place):
+    return place >> 24, place >> 16 & 0xFF, place >> 8 & 0xFF, place & 0xFF
+
+
+def _run_batch(row, place, a, c) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(map(pa.array, (row, place, a.view(np.int64), c.view(np.int64)))), names=["_row", "place", "a", "c"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, seed: int, bits: int):
+    """The runs of all texts: _row, place, a, c."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             rows = part.column("_row").to_numpy()
             for data, doc, text, shift in _segments(_encoded(part.column("text")), window):
-                first, last, anchor, a, c = anchored_runs(data, doc, window, ANCHOR)
-                if not len(first):
-                    continue
-                of = doc[first]
-                place = (first + shift[of]) << 16 | (last - first) << 8 | (anchor - first)
-                columns = [rows[text[of]], place, a.view(np.int64), c.view(np.int64)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["_row", "place", "a", "c"])
+                first, last, anchor, a, c = anchored_runs(data, doc, window, ANCHOR, seed, bits)
+                if len(first):
+                    of = doc[first]
+                    yield _run_batch(rows[text[of]], (first + shift[of]) << 24 | (last - first) << 16 | (anchor - first) << 8 | ANCHOR, a, c)
+
+
+def halves(first, span, off, length, window: int) -> list[tuple[np.ndarray, ...]]:
+    """Contexts parted by longer anchors: (which, side, first, span, off, length) of those that reach to the right, and to the left."""
+    slack = window - length
+    half = slack // 2
+    right = np.maximum(0, off - half), np.minimum(span, off)  # windows that begin at most `half` before the anchor
+    left = np.zeros_like(off), np.minimum(span, off - half - 1)
+    out = []
+    for side, (low, high), begin, size in ((0, right, off, length + slack - half), (1, left, off - half - 1, length + half + 1)):
+        which = np.flatnonzero((low <= high) & (slack > 0))
+        low, high = low[which], high[which]
+        out.append((which, side, first[which] + low, high - low, begin[which] - low, size[which]))
+    return out
+
+
+def _parted(batches: Iterator[pa.RecordBatch], window: int, seed: int, bits: int):
+    """The contexts of anchors with too many of them, by longer anchors: _row, place, a, c."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for r, text, edges in zip(part.column("_row").to_pylist(), _encoded(part.column("text")), part.column("edges").to_pylist(), strict=True):
+                hot = [(e["place"], e["a"]) for e in edges if e["hot"]]
+                for k in range(0, len(hot), 4096):
+                    place, a = (np.array(x, dtype=np.int64) for x in zip(*hot[k : k + 4096], strict=True))
+                    first, span, off, length = _unpacked(place)
+                    # Only the contexts' bytes, one after the other.
+                    sizes = span + window
+                    starts = np.cumsum(sizes) - sizes
+                    for low in range(0, len(place), 1024):
+                        some = slice(low, low + 1024)
+                        data = np.frombuffer(b"".join([text[f : f + n] for f, n in zip(first[some].tolist(), sizes[some].tolist(), strict=True)]), np.uint8)
+                        shift = starts[some] - starts[low]
+                        rolling = Rolling(data, seed)
+                        for which, side, f, s, o, n in halves(shift, span[some], off[some], length[some], window):
+                            if not len(which):
+                                continue
+                            digest = rolling.of(f + o, n) ^ _mix(a[some][which].view(np.uint64), 7 + side)
+                            c = _context_digest(rolling, f, f + s, f + o, n, window, bits)
+                            real = f - shift[which] + first[some][which]
+                            yield _run_batch(np.full(len(f), r), real << 24 | s << 16 | o << 8 | n, _mix(digest), c)
 
 
 # -------------------------------------------------------------- contexts
 
 
+def _cut(parts: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 4 << 20):
+    """Rows (the last value: bytes) in batches of a few megabytes."""
+    held, size = [], 0
+    for row in parts:
+        held.append(row)
+        size += len(row[-1])
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], window: int):
     """The bytes of each context that has to be sorted."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            row, a, first, bytes_ = [], [], [], []
-            for r, text, entries in zip(part.column("_row").to_pylist(), _encoded(part.column("text")), part.column("edges").to_pylist(), strict=True):
-                for e in entries:
-                    start = e["place"] >> 16
-                    row.append(r)
-                    a.append(e["a"])
-                    first.append(start)
-                    bytes_.append(text[start : start + (e["place"] >> 8 & 0xFF) + window])
-            columns = [pa.array(row, pa.int64()), pa.array(a, pa.int64()), pa.array(first, pa.int64()), pa.array(bytes_, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "a", "first", "context"])
+
+    def parts():
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for r, text, edges in zip(part.column("_row").to_pylist(), _encoded(part.column("text")), part.column("edges").to_pylist(), strict=True):
+                    for e in edges:
+                        if not e["hot"]:
+                            first, span, _, _ = _unpacked(e["place"])
+                            yield r, e["a"], first, text[first : first + span + window]
+
+    return _cut(parts(), ["_row", "a", "first", "context"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+
+
+def _copies(batches: Iterator[pa.RecordBatch], window: int):
+    """What tells contexts met more than once apart: anchor, shape and bytes; those of one batch once."""
+
+    def parts():
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, seen = batch.slice(at, 512), set()
+                for text, whole in zip(_encoded(part.column("text")), part.column("whole").to_pylist(), strict=True):
+                    for e in whole:
+                        first, span, _, _ = _unpacked(e["place"])
+                        key = e["a"], e["place"] & 0xFFFFFF, text[first : first + span + window]
+                        if key not in seen:
+                            if len(seen) == 50_000:
+                                seen.clear()
+                            seen.add(key)
+                            yield key
+
+    return _cut(parts(), ["a", "shape", "context"], [pa.int64(), pa.int64(), pa.binary()])
 
 
 def _runs_of(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,14 +289,13 @@ def _runs_of(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last + window
 
 
-def _sorted_shard(batches: Iterator[pa.RecordBatch], window: int):
+def _sorted_shards(batches: Iterator[pa.RecordBatch], window: int):
     """Contexts ordered by anchor -> stretches (_row, start, end) that also occur elsewhere."""
-    held: list[tuple[int, int, int, bytes]] = []
-    size = 0
+    shard, rows, firsts, anchor = Shard(), [], [], None
 
-    def out(items):
+    def out():
         row, start, end = [], [], []
-        for (r, _, first, _), hits in zip(items, repeated_windows([x[3] for x in items], window), strict=True):
+        for r, first, hits in zip(rows, firsts, shard.repeated(window), strict=True):
             for s, e in zip(*_runs_of(hits, window), strict=True):
                 row.append(r)
                 start.append(first + int(s))
@@ -215,31 +303,16 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch], window: int):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, start, end)], names=["_row", "start", "end"])
 
     for batch in batches:
-        for item in zip(*(batch.column(c).to_pylist() for c in ("_row", "a", "first", "context")), strict=True):
-            if size >= SHARD_BYTES and item[1] != held[-1][1]:
-                yield out(held)
-                held, size = [], 0
-            held.append(item)
-            size += len(item[3])
-    if held:
-        yield out(held)
-
-
-def _window_digests(batches: Iterator[pa.RecordBatch], window: int):
-    """All windows of contexts by two digests: for anchors with very many contexts."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 1024):
-            part = batch.slice(begin, 1024)
-            contexts = part.column("context").to_pylist()
-            sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-            data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-            starts = np.cumsum(sizes) - sizes
-            counts = sizes - window + 1
-            of = np.repeat(np.arange(len(contexts)), counts)
-            inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            x, y = (_mix(Rolling(data, k).of(starts[of] + inside, window)).view(np.int64) for k in (0, 1))
-            columns = [part.column("_row").to_numpy()[of], part.column("first").to_numpy()[of] + inside, x, y]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["_row", "start", "x", "y"])
+        for r, a, first, context in zip(*(batch.column(c).to_pylist() for c in ("_row", "a", "first", "context")), strict=True):
+            if shard.bytes >= SHARD_BYTES and a != anchor:
+                yield out()
+                shard, rows, firsts = Shard(), [], []
+            shard.add(context)
+            rows.append(r)
+            firsts.append(first)
+            anchor = a
+    if rows:
+        yield out()
 
 
 # -------------------------------------------------------------- removal
@@ -262,8 +335,8 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool):
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             whole, found = part.column("whole").to_pylist(), part.column("found").to_pylist()
             for text, places, stretches in zip(_encoded(part.column("text")), whole, found, strict=True):
-                starts = [p >> 16 for p in places or ()] + [s["start"] for s in stretches or ()]
-                ends = [(p >> 16) + (p >> 8 & 0xFF) + window for p in places or ()] + [s["end"] for s in stretches or ()]
+                starts = [p >> 24 for p in places or ()] + [s["start"] for s in stretches or ()]
+                ends = [(p >> 24) + (p >> 16 & 0xFF) + window for p in places or ()] + [s["end"] for s in stretches or ()]
                 runs = united(starts, ends)
                 digest, end, rest = hashlib.sha256(), 0, []
                 for s, e in [*runs, (len(text), len(text))]:
@@ -287,52 +360,96 @@ def _clean_up(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds the removed spans and the bytes kept."""
-    if not ANCHOR < window <= 255:
-        raise ValueError(f"the window must have {ANCHOR + 1} to 255 bytes")
-    spark = docs.sparkSession
-    rows = rows_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    make = functools.partial(_anchor_rows, window=window)
-    anchors = rows.select("_row", "text").mapInArrow(make, "_row long, place long, a long, c long")
-
-    seen = anchors.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+def _met(spark: SparkSession, runs: DataFrame) -> tuple[DataFrame, int, int, list[str]]:
+    """(runs whose anchor was met more than once, with n and kinds; contexts met more than once; most kinds of an anchor; tables)."""
+    seen = runs.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
     per_anchor = seen.groupBy("a").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds")).filter("met > 1").drop("met")
     repeated, repeated_path = write_table(spark, seen.join(per_anchor, "a"), "repeated-contexts")
     del seen, per_anchor
     _clean_up(spark)
+    met, met_path = write_table(spark, runs.join(repeated, ["a", "c"]), "repeated-places")
+    sums = repeated.agg(F.count_if(F.col("n") > 1).alias("keys"), F.max("kinds").alias("kinds")).first()
+    return met, sums["keys"], sums["kinds"] or 0, [repeated_path, met_path]
 
-    met, met_path = write_table(spark, anchors.join(repeated, ["a", "c"]), "repeated-places")
-    # A context met several times is repeated as a whole; where its anchor has others, one copy of it is sorted with them.
-    hot = (F.col("kinds") > HOT_CONTEXTS).alias("hot")
-    edge = F.struct("a", "place", hot)
-    whole = F.when(F.col("n") > 1, F.col("place"))
-    own = met.select("_row", whole.alias("whole"), F.when((F.col("n") == 1) & (F.col("kinds") > 1), edge).alias("edge"))
-    copies = met.filter("n > 1 and kinds > 1").groupBy("a", "c").agg(F.min(F.struct("_row", "place", "kinds")).alias("one")).select("a", "one.*")
-    copies = copies.select("_row", F.lit(None).cast("long").alias("whole"), edge.alias("edge"))
-    marks = own.unionByName(copies).groupBy("_row").agg(F.collect_list("whole").alias("whole"), F.collect_list("edge").alias("edges"))
-    marked, _ = write_table(spark, rows.join(marks, "_row"), "marked")
-    drop_table(spark, repeated_path)
-    drop_table(spark, met_path)
-    del marks, own, copies, met, repeated
-    _clean_up(spark)
 
-    has_edges = F.size("edges") > 0
+def _marked(spark: SparkSession, texts: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
+    """Texts with marks: whole (contexts met more than once) and edges (what is to be sorted, one copy of each)."""
+    edge = F.struct("a", "place", (F.col("kinds") > HOT_CONTEXTS).alias("hot"))
+    whole = F.when(F.col("n") > 1, F.struct("place", "a"))
+    own = met.select("_row", whole.alias("whole"), F.when((F.col("n") == 1) & (F.col("kinds") > 1), edge).alias("edge"))
+    one = met.filter("n > 1 and kinds > 1").groupBy("a", "c").agg(F.min(F.struct("_row", "place", "kinds")).alias("one")).select("a", "one.*")
+    one = one.select("_row", F.lit(None).cast(own.schema["whole"].dataType).alias("whole"), edge.alias("edge"))
+    marks = own.unionByName(one).groupBy("_row").agg(F.collect_list("whole").alias("whole"), F.collect_list("edge").alias("edges"))
+    return write_table(spark, texts.join(marks, "_row"), "marked")
+
+
+def _proved(marked: DataFrame, keys: int, window: int) -> bool:
+    """Whether the contexts met more than once have as many different bytes as digests."""
+    schema = "a long, shape long, context binary"
+    different = marked.filter(F.size("whole") > 0).select("text", "whole").mapInArrow(functools.partial(_copies, window=window), schema)
+    return different.groupBy("a", "shape", "context").agg(F.lit(1).alias("one")).count() == keys
+
+
+def _repeats(rows: DataFrame, window: int, seed: int) -> tuple[DataFrame, DataFrame] | None:
+    """(marked texts, stretches found besides whole contexts); None if two contexts share a digest."""
+    spark = rows.sparkSession
+    options = {"window": window, "seed": seed, "bits": DIGEST_BITS if seed else FIRST_DIGEST_BITS}
+    run = "_row long, place long, a long, c long"
+    runs = rows.select("_row", "text").mapInArrow(functools.partial(_anchor_rows, **options), run)
+    levels, wholes, texts = [], [], rows
+    while True:
+        met, keys, kinds, paths = _met(spark, runs)
+        marked, path = _marked(spark, texts, met)
+        for p in paths:
+            drop_table(spark, p)
+        if levels:
+            drop_table(spark, runs_path)
+        del met, runs
+        _clean_up(spark)
+        levels.append((marked, path))
+        if not _proved(marked, keys, window):
+            for _, p in levels:
+                drop_table(spark, p)
+            return None
+        if len(levels) > 1:
+            place = marked.select("_row", F.explode("whole.place").alias("p"))
+            start = F.shiftright("p", 24)
+            wholes.append(place.select("_row", start.alias("start"), (start + F.shiftright("p", 16).bitwiseAND(F.lit(255)) + window).alias("end")))
+        if kinds <= HOT_CONTEXTS:
+            break
+        hot = marked.filter(F.exists("edges", lambda e: e["hot"]))
+        runs, runs_path = write_table(spark, hot.select("_row", "text", "edges").mapInArrow(functools.partial(_parted, **options), run), "parted")
+        texts = hot.select("_row", "text")
     cutter = functools.partial(_contexts, window=window)
-
-    def contexts(hot: bool) -> DataFrame:
-        chosen = marked.filter(has_edges).select("_row", "text", F.filter("edges", lambda e: e["hot"] == hot).alias("edges"))
-        return chosen.filter(F.size("edges") > 0).mapInArrow(cutter, "_row long, a long, first long, context binary")
-
+    contexts = None
+    for marked, _ in levels:
+        sortable = marked.filter(F.exists("edges", lambda e: ~e["hot"])).select("_row", "text", "edges")
+        cut = sortable.mapInArrow(cutter, "_row long, a long, first long, context binary")
+        contexts = cut if contexts is None else contexts.unionByName(cut)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = contexts(False).repartition(tasks, "a").sortWithinPartitions("a")
-    stretches = shards.mapInArrow(functools.partial(_sorted_shard, window=window), "_row long, start long, end long")
-    digests = contexts(True).mapInArrow(functools.partial(_window_digests, window=window), "_row long, start long, x long, y long")
-    more = digests.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hot = digests.join(more, ["x", "y"]).select("_row", "start", (F.col("start") + window).alias("end"))
-    found = stretches.unionByName(hot).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    shards = contexts.repartition(tasks, "a").sortWithinPartitions("a")
+    stretches = shards.mapInArrow(functools.partial(_sorted_shards, window=window), "_row long, start long, end long")
+    for more in wholes:
+        stretches = stretches.unionByName(more)
+    found = stretches.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     found, _ = write_table(spark, found, "stretches")
+    for _, path in levels[1:]:
+        drop_table(spark, path)
+    return levels[0][0], found
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds the removed spans and the bytes kept."""
+    if not ANCHOR < window <= 255:
+        raise ValueError(f"the window must have {ANCHOR + 1} to 255 bytes")
+    rows = rows_of(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = next((x for x in (_repeats(rows, window, seed) for seed in range(SEEDS)) if x), None)
+    if got is None:
+        raise RuntimeError("no digest separates the contexts")
+    marked, found = got
+    has_edges = F.size("edges") > 0
+    marked = marked.withColumn("whole", F.col("whole.place"))
 
     columns = ["doc_id", "text", "whole"]
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("found")

@@ -120,6 +120,32 @@ def test_suffix_dedup(docs, none, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def _plain_removed(texts, window=200):
+    """For each text, the bytes covered by windows that start more than once."""
+    seen = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    out = []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone.update(range(i, i + window))
+        out.append(bytes(b for k, b in enumerate(t) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "bits"), [(3, 64), (2048, 64), (2048, 2)])
+def test_suffix_dedup_with_a_hot_anchor(spark, monkeypatch, limit, bits):
+    """One passage between ever other neighbours; small parts, and digests that collide at first."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", limit)
+    monkeypatch.setattr(suffix_dedup, "FIRST_DIGEST_BITS", bits)
+    word = lambda n: "".join(RNG.choice("abcdefgh ") for _ in range(n))
+    passage, left, right = word(90), [word(140) for _ in range(6)], [word(140) for _ in range(6)]
+    rows = [(k, RNG.choice(left)[RNG.randrange(30) :] + passage + RNG.choice(right)[: RNG.randrange(110, 140)] + word(20)) for k in range(60)]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    want = _plain_removed([t.encode() for _, t in rows])
+    assert [got[k] for k in range(60)] == want and any(want)
+
+
 def test_suffix_dedup_on_many_overlaps(spark):
     passage = text(100)
     rows = [(i, text(20) + passage[RNG.randrange(200) :] + text(10)) for i in range(60)] + [(99, text(9) + ("ab" * 300) + passage[:260] * 2)]

@@ -130,13 +130,33 @@ def test_trie_finds_exactly_its_keys():
 # ------------------------------------------------------------ suffix sorting
 
 
+@pytest.mark.parametrize("block", [3, 1 << 15])
 @pytest.mark.parametrize("budget", [64, 1 << 20])
-def test_suffix_array(budget):
-    for _ in range(100):
+def test_sorted_suffixes_and_their_common_prefixes(budget, block, monkeypatch):
+    monkeypatch.setattr(induced, "BLOCK", block)
+    monkeypatch.setattr(induced, "LONG_RUN", RNG.choice([2, 100]))
+    for _ in range(150):
         k = RNG.choice([1, 2, 3, 26])
-        t = np.array([RNG.randrange(1, k + 2) for _ in range(RNG.randrange(0, 50))] + [0], dtype=np.int16)
-        got = induced.suffix_array(t, 200, budget).tolist()
-        assert got == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        t = [RNG.randrange(1, k + 2) for _ in range(RNG.randrange(0, 50))]
+        t = np.array((t * 4)[:70] + [0] if RNG.random() < 0.3 else t + [0], dtype=np.int16)
+        scratch = induced.Scratch(budget)
+        order, common = (x.tolist() for x in induced.sorted_suffixes(t, int(t.max()) + 1, scratch))
+        assert order == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for a, b, n in zip(order, order[1:], common[1:], strict=False):
+            assert t[a : a + n].tolist() == t[b : b + n].tolist() and t[a + n] != t[b + n]
+        assert budget > 64 or len(t) < 40 or scratch.spilled
+
+
+def test_a_shard_far_larger_than_its_memory():
+    base = [bytes(RNG.choice(b"abcdefgh ") for _ in range(300)) for _ in range(600)]
+    parts = [c[: RNG.randrange(200, 300)] for c in base] + [c[RNG.randrange(0, 90) :] for c in base] + [b"-" * 280, b"-" * 250]
+    shard = induced.Shard(1 << 14)
+    for c in parts:
+        shard.add(c)
+    got = [x.tolist() for x in shard.repeated(200)]
+    seen = collections.Counter(x[i : i + 200] for x in parts for i in range(len(x) - 199))
+    assert got == [[i for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1] for x in parts]
+    assert shard.scratch.spilled > 100 * shard.scratch.budget
 
 
 def test_repeated_windows():
@@ -157,6 +177,19 @@ def test_anchored_runs_cover_every_window_once():
         assert all(f <= p and e <= p and p + suffix_dedup.ANCHOR <= f + 200 for f, e, p in zip(first, last, anchor, strict=True))
 
 
+def test_parted_contexts_hold_every_window_once():
+    for length in (64, 65, 131, 199):
+        for off in range(0, 200 - length + 1):
+            for span in {0, off // 2, off}:
+                one = lambda x: np.array([x])
+                windows = []
+                for which, side, f, s, o, n in suffix_dedup.halves(one(1000), one(span), one(off), one(length), 200):
+                    for k in range(len(which)):
+                        assert length < n[k] <= 200 and o[k] >= s[k] and o[k] + n[k] <= 200
+                        windows += range(f[k], f[k] + s[k] + 1)
+                assert sorted(windows) == list(range(1000, 1000 + span + 1))
+
+
 # ------------------------------------------------------------------ simhash
 
 
