@@ -13,8 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The column of ``numbered``.
-ROW = "_factloom_row"
 #: Characters that the contracts call white space: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -60,10 +58,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_row, doc_id, text.  ``docs`` may be numbered already (by ``numbered``)."""
-    known = docs if ROW in docs.columns else numbered(docs.select(docs[id_col], docs[text_col]))
-    return known.select(known[ROW].alias("_row"), known[id_col].alias("doc_id"), F.coalesce(known[text_col], F.lit("")).alias("text"))
+def rows_of(docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+    """_row, doc_id, text.  ``row`` names the numbers of ``docs`` that is numbered already (by ``numbered``)."""
+    known = docs.select(*([docs[row]] if row else []), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    if not row:
+        known, row = numbered(known)
+    return known.select(known[row].alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _is_plain_scan(df: DataFrame) -> bool:
@@ -74,11 +74,15 @@ def _is_plain_scan(df: DataFrame) -> bool:
     return plan.nodeName().startswith(("LogicalRelation", "Relation", "LocalRelation"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column ROW, a number that stays the row's own however often the plan runs.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number that stays the row's own however often the plan runs, and the name of that column.
 
     Rows are numbered in reading order.  What isn't a plain scan is written first.
+    The name is one that ``docs`` doesn't have.
     """
+    row = "_factloom_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
     if not _is_plain_scan(docs):
         docs, _ = write_table(docs.sparkSession, docs, "rows")
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    return docs.withColumn(row, F.monotonically_increasing_id()), row

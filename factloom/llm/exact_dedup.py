@@ -13,9 +13,10 @@ grouping keys with map-side combining.  The names stay free of collisions
 because the shuffle also counts the different blocks under each key; should
 there ever be two, the naming starts again with another seed.
 
-Skew: names are joined to their occurrences by sort-merge joins, which adaptive
-execution splits; groups are only aggregated (with partial aggregation), never
-collected.
+Skew: names and group results are written before they are joined to their
+occurrences, so that such a join deals both sides anew and adaptive execution
+can split a hot one; groups are only aggregated (with partial aggregation),
+never collected.
 
 Defined results: null text counts as empty, and empty texts (or texts of white
 space only) are one group.  Of equal texts the row with the most code points in
@@ -32,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ROW, documents, drop_table, numbered, rows_of, write_table
+from factloom.llm.common import documents, drop_table, numbered, rows_of, write_table
 
 BLOCK_CHARS = 4096
 
@@ -80,10 +81,10 @@ def _named_blocks(spark: SparkSession, rows: DataFrame, block_chars: int) -> tup
     raise RuntimeError("no seed separates the blocks")
 
 
-def identities(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
+def identities(docs: DataFrame, id_col: str, text_col: str, block_chars: int, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(occurrences: _row, doc_id, n_chars, text_sha256; identities: _row, level, name)."""
     spark = docs.sparkSession
-    rows = rows_of(docs, id_col, text_col).select(
+    rows = rows_of(docs, id_col, text_col, row).select(
         "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm")
     )
     occurrences, names, _ = _named_blocks(spark, rows, block_chars)
@@ -118,16 +119,18 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_chars: int) ->
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row: str | None = None
 ) -> DataFrame:
     """One row per input row: _row, doc_id, keep_id, group_size, kept, text_sha256."""
-    occurrences, found = identities(docs, id_col, text_col, block_chars)
+    occurrences, found = identities(docs, id_col, text_col, block_chars, row)
     rows, _ = write_table(docs.sparkSession, occurrences.join(found, "_row"), "identified")
     best = F.struct(
         (-F.col("n_chars")).alias("shortness"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row").alias("row")
     )
     groups = rows.groupBy("level", "name").agg(F.min(best).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("level", "name", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
+    # Written, so that the join deals both sides anew and a large group can be split.
+    groups, _ = write_table(docs.sparkSession, groups, "groups")
     return rows.join(groups, ["level", "name"]).select(
         "_row", "doc_id", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
@@ -135,9 +138,9 @@ def exact_groups(
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows = numbered(docs)
-    kept = exact_groups(rows, id_col, text_col).filter("kept").select(F.col("_row").alias("_factloom_kept"))
-    return rows.join(kept, F.col(ROW) == F.col("_factloom_kept"), "left_semi").drop(ROW)
+    rows, row = numbered(docs)
+    kept = exact_groups(rows, id_col, text_col, row=row).filter("kept").select(F.col("_row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*(rows[c] for c in docs.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

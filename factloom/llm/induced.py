@@ -37,7 +37,7 @@ import numpy as np
 END, BREAK, BYTES_FROM = 0, 1, 2
 SIGMA = BYTES_FROM + 256
 MEMORY_BYTES = 64 << 20
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 #: A character with a longer run gets a range of its own.
 LONG_RUN = 100
 _BIG = np.int32(1 << 30)
@@ -112,10 +112,10 @@ class RangeQueue:
         """``chars`` ascending; equal ones in order of arrival."""
         if not len(chars):
             return
-        range_ = np.searchsorted(self._bounds, chars, side="right") - 1
-        heads = [0, *(np.flatnonzero(range_[1:] != range_[:-1]) + 1).tolist()]
-        for a, z in zip(heads, [*heads[1:], len(chars)], strict=True):
-            part, r = (chars[a:z], positions[a:z], prefixes[a:z]), int(range_[a])
+        cuts = np.append(np.searchsorted(chars, self._bounds), len(chars))
+        for r in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            a, z = cuts[r], cuts[r + 1]
+            part = chars[a:z], positions[a:z], prefixes[a:z]
             self._parts.setdefault(r, deque()).append(part)
             size = sum(x.nbytes for x in part)
             self._held[r] = self._held.get(r, 0) + size
@@ -233,7 +233,7 @@ class Induction:
         self._plan(seeds)
         self._queue = RangeQueue(self.bounds, self._scratch)
         self._since = np.full(self._sigma if self._carry else 0, -1, np.int32)
-        self.order = self._scratch.array(self.total, np.int64)
+        self.order = self._scratch.array(self.total, _places(len(self._text)))
         self.prefixes = self._scratch.array(self.total if self._carry else 0, np.int32)
         self._out = 0
         if first is not None:
@@ -384,7 +384,12 @@ def _reversed(values: np.ndarray, scratch: Scratch, shift: bool) -> np.ndarray:
     return out
 
 
-def _named(text, stars, in_order, scratch) -> tuple[np.ndarray, np.ndarray, int]:
+def _places(n: int):
+    """The type of positions in a text."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def _named(text, stars, ends, in_order, scratch) -> tuple[np.ndarray, np.ndarray, int]:
     """(name of each leftmost-S substring in text order, common prefix of each name with the one before, names).
 
     The last character of a substring doesn't count as common: it is the next one's.
@@ -392,15 +397,15 @@ def _named(text, stars, in_order, scratch) -> tuple[np.ndarray, np.ndarray, int]
     m = len(stars)
     names, common = scratch.array(m, np.int32), scratch.array(m, np.int32)
 
-    def size_of(positions):
-        at = np.searchsorted(stars, positions)
-        return np.where(at + 1 < m, stars[np.minimum(at + 1, m - 1)] - positions + 1, 1)
-
+    index = scratch.array(len(text), np.int32)
+    for s in _blocks(m, 1 << 20):
+        index[stars[s]] = np.arange(s.start, s.stop)
     name = 0
-    names[np.searchsorted(stars, in_order[0])], common[0] = 0, 0
+    names[index[in_order[0]]], common[0] = 0, 0
     for s in _blocks(m - 1):
         a, b = np.asarray(in_order[s.start : s.stop]), np.asarray(in_order[s.start + 1 : s.stop + 1])
-        of_a, of_b = size_of(a), size_of(b)
+        i, j = index[a], index[b]
+        of_a, of_b = ends[i] - a + 1, ends[j] - b + 1
         least = np.minimum(of_a, of_b)
         alike, open_, k = least.copy(), np.arange(len(a)), 0
         while len(open_):
@@ -414,7 +419,7 @@ def _named(text, stars, in_order, scratch) -> tuple[np.ndarray, np.ndarray, int]
         differ = (alike < least)
         own = name + np.cumsum(differ)
         common[own[differ]] = alike[differ]
-        names[np.searchsorted(stars, b)] = own
+        names[j] = own
         name = int(own[-1])
     return names, common, name + 1
 
@@ -424,47 +429,50 @@ def sorted_suffixes(text: np.ndarray, sigma: int, scratch: Scratch) -> tuple[np.
     n = len(text)
     small, run = suffix_types(text, scratch)
     counts = sum(int(np.count_nonzero(small[s][1:] & ~small[s][:-1])) for s in (slice(b.start, min(b.stop + 1, n)) for b in _blocks(n, 1 << 20)))
-    stars, at = scratch.array(counts, np.int64), 0
+    kind = _places(n)
+    stars, at = scratch.array(counts, kind), 0
     for b in _blocks(n, 1 << 20):
         part = small[b.start : min(b.stop + 1, n)]
         found = np.flatnonzero(part[1:] & ~part[:-1]) + 1 + b.start
         stars[at : at + len(found)] = found
         at += len(found)
     large = _Not(small)
-    end = np.array([n - 1])
+    end = np.array([n - 1], kind)
     if not counts:  # one character: nothing but the end
         return end, np.zeros(1, np.int32)
 
+    ends = scratch.array(counts, kind)  # the next one's begin
+    ends[:-1], ends[-1] = stars[1:], n - 1
+
     # Leftmost-S substrings in order.
     first = np.asarray(text[stars])
-    rough = scratch.array(counts, np.int64)
+    rough = scratch.array(counts, kind)
     rough[:] = stars[np.argsort(first, kind="stable")]
     down, _ = Induction(text, large, run, sigma, False, False, scratch).run(rough, None)
     up, _ = Induction(text, small, run, sigma, True, False, scratch).run(_reversed(down, scratch, False), None, end)
-    in_order, at = scratch.array(counts, np.int64), counts
+    in_order, at = scratch.array(counts, kind), counts
     for s in _blocks(len(up), 1 << 20):
         part = np.asarray(up[s])
         part = part[(part > 0) & large[np.maximum(part - 1, 0)]]
         in_order[at - len(part) : at] = part[::-1]
         at -= len(part)
-    names, common, different = _named(text, stars, in_order, scratch)
+    names, common, different = _named(text, stars, ends, in_order, scratch)
     del down, up, in_order, rough
 
     # Their suffixes in order, by recursion unless all names differ.
     star_prefixes = scratch.array(counts, np.int32)
     if different == counts:
-        order = scratch.array(counts, np.int64)
+        order = scratch.array(counts, kind)
         order[names] = np.arange(counts)
         shared = np.zeros(1, np.int32)
     else:
         order, shared = sorted_suffixes(names, different, scratch)
     least = LeastOf(common, scratch)
-    seeds, ends = scratch.array(counts, np.int64), scratch.array(counts, np.int64)
-    ends[:-1], ends[-1] = stars[1:], n - 1
+    seeds = scratch.array(counts, kind)
     seeds[0], star_prefixes[0] = stars[order[0]], 0
     for s in _blocks(counts - 1):
         i, j = order[s.start : s.stop], order[s.start + 1 : s.stop + 1]
-        same = shared[s.start + 1 : s.stop + 1].astype(np.int64) if len(shared) == counts else 0
+        same = shared[s.start + 1 : s.stop + 1] if len(shared) == counts else 0
         seeds[s.start + 1 : s.stop + 1] = stars[j]
         i, j, along = i + same, j + same, stars[j + same] - stars[j]
         # The names that differ share `more` characters; to the end of the shorter one, and its last character's run, if only the types differ there.
@@ -483,7 +491,7 @@ def sorted_suffixes(text: np.ndarray, sigma: int, scratch: Scratch) -> tuple[np.
     up, up_prefixes = _reversed(up, scratch, False), _reversed(up_prefixes, scratch, True)
     n_small = of_small.members[::-1]
     before_large, before_small = np.cumsum(n_small) - n_small, np.cumsum(of_large.members)
-    out, prefixes = scratch.array(n, np.int64), scratch.array(n, np.int32)
+    out, prefixes = scratch.array(n, kind), scratch.array(n, np.int32)
     heads = np.cumsum(of_large.members) - of_large.members
     for s in _blocks(len(down)):
         to = np.arange(s.start, s.stop) + before_large[text[down[s]]]

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -62,75 +64,101 @@ class Found:
 
 
 # ---------------------------------------------------------------- validators
-# Each takes (data, start) and returns (type, length), or None if the structure does not hold.
+# Each takes (data, start, notes) and returns (type, length), or None if the structure does not hold.
+# Notes are kept for one payload: how far a chain of parts leads from a place is found once, however many
+# starts lead there, so that a payload full of magic numbers takes time in proportion to its size.
+
+
+def _followed(notes: dict, name: str, start, step):
+    """Where the chain from ``start`` ends.  ``step`` gives (True, the next place) or (False, the result)."""
+    known, path, at = notes.setdefault(name, {}), [], start
+    while at not in known:
+        path.append(at)
+        more, value = step(at)
+        if not more:
+            known[at] = value
+            break
+        at = value
+    result = known[at]
+    for place in path:
+        known[place] = result
+    return result
+
+
+def _places(notes: dict, d: bytes, mark: bytes) -> list[int]:
+    """Where ``mark`` stands, found once."""
+    if mark not in notes:
+        notes[mark] = [m.start() for m in re.finditer(re.escape(mark), d)]
+    return notes[mark]
 
 
-def _png(d: bytes, at: int):
-    start, at, first = at, at + 8, True
-    while at + 12 <= len(d):
+def _png(d: bytes, start: int, notes: dict):
+    def chunk(at: int):
+        if at + 12 > len(d):
+            return False, None
         size, name = struct.unpack_from(">I4s", d, at)
-        if at + 12 + size > len(d) or (first and (name != b"IHDR" or size != 13)):
-            return None
-        if zlib.crc32(d[at + 4 : at + 8 + size]) != struct.unpack_from(">I", d, at + 8 + size)[0]:
-            return None
-        at, first = at + 12 + size, False
-        if name == b"IEND":
-            return "image/png", at - start
-    return None
+        if at + 12 + size > len(d) or zlib.crc32(d[at + 4 : at + 8 + size]) != struct.unpack_from(">I", d, at + 8 + size)[0]:
+            return False, None
+        return (False, at + 12 + size) if name == b"IEND" else (True, at + 12 + size)
+
+    if d[start + 8 : start + 16] != b"\0\0\0\x0dIHDR":
+        return None
+    end = _followed(notes, "png", start + 8, chunk)
+    return ("image/png", end - start) if end else None
 
 
-def _jpeg(d: bytes, at: int):
-    start, at, scanned = at, at + 2, False
-    while at + 2 <= len(d):
+def _jpeg(d: bytes, start: int, notes: dict):
+    def segment(state: tuple[int, bool]):
+        at, scanned = state
+        if at + 2 > len(d):
+            return False, None
         if d[at] != 0xFF:
-            if not scanned:
-                return None
-            at = d.find(b"\xff", at)
-            if at < 0:
-                return None
-            continue
+            at = d.find(b"\xff", at) if scanned else -1
+            return (True, (at, True)) if at >= 0 else (False, None)
         mark = d[at + 1]
         if mark == 0xD9:
-            return ("image/jpeg", at + 2 - start) if scanned else None
+            return False, at + 2 if scanned else None
         if mark in (0x00, 0xFF) or 0xD0 <= mark <= 0xD7:
             if not scanned and mark != 0xFF:
-                return None
-            at += 1 if mark == 0xFF else 2
-            continue
+                return False, None
+            return True, (at + (1 if mark == 0xFF else 2), scanned)
         if at + 4 > len(d) or (size := struct.unpack_from(">H", d, at + 2)[0]) < 2:
-            return None
-        scanned |= mark == 0xDA
-        at += 2 + size
-    return None
+            return False, None
+        return True, (at + 2 + size, scanned or mark == 0xDA)
 
+    end = _followed(notes, "jpeg", (start + 2, False), segment)
+    return ("image/jpeg", end - start) if end else None
 
-def _gif(d: bytes, at: int):
-    start, flags = at, d[at + 10] if at + 13 <= len(d) else None
-    if flags is None or 0 in struct.unpack_from("<HH", d, at + 6):
-        return None
-    at += 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
 
-    def blocks(at: int) -> int | None:
-        while at < len(d):
-            if d[at] == 0:
-                return at + 1
-            at += 1 + d[at]
+def _gif(d: bytes, start: int, notes: dict):
+    flags = d[start + 10] if start + 13 <= len(d) else None
+    if flags is None or 0 in struct.unpack_from("<HH", d, start + 6):
         return None
 
-    while at is not None and at < len(d):
+    def sub_block(at: int):
+        if at >= len(d):
+            return False, None
+        return (False, at + 1) if d[at] == 0 else (True, at + 1 + d[at])
+
+    def block(at: int):
+        if at >= len(d):
+            return False, None
         if d[at] == 0x3B:
-            return "image/gif", at + 1 - start
+            return False, at + 1
         if d[at] == 0x21:
-            at = blocks(at + 2)
+            at = _followed(notes, "gif data", at + 2, sub_block)
         elif d[at] == 0x2C and at + 10 <= len(d):
             local = d[at + 9]
-            at = blocks(at + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
+            at = _followed(notes, "gif data", at + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0), sub_block)
         else:
-            return None
-    return None
+            return False, None
+        return (True, at) if at else (False, None)
 
+    end = _followed(notes, "gif", start + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), block)
+    return ("image/gif", end - start) if end else None
 
-def _bmp(d: bytes, at: int):
+
+def _bmp(d: bytes, at: int, notes: dict):
     if at + 30 > len(d):
         return None
     size, spare, pixels, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", d, at + 2)
@@ -142,74 +170,139 @@ def _bmp(d: bytes, at: int):
     return ("image/bmp", size) if holds and spare == 0 and at + size <= len(d) else None
 
 
-def _riff(d: bytes, at: int):
+def _riff(d: bytes, at: int, notes: dict):
     if at + 12 > len(d):
         return None
     size, form = struct.unpack_from("<I4s", d, at + 4)
-    end, start, names = at + 8 + size, at, []
-    if form not in RIFF_TYPES or end > len(d):
+    end = at + 8 + size
+    if form not in RIFF_TYPES or end > len(d) or (form == b"WAVE" and d[at + 12 : at + 16] != b"fmt "):
         return None
-    at += 12
-    while at + 8 <= end:
-        name, n = struct.unpack_from("<4sI", d, at)
-        names.append(name)
-        at += 8 + n + (n & 1)
-    if at != end or not names or (form == b"WAVE" and (names[0] != b"fmt " or b"data" not in names)):
+
+    def chunk(place: int):
+        """Chains of chunks join: each place gets (the tree's name, steps left and data chunks left to the end of it)."""
+        return place + 8 + int.from_bytes(d[place + 4 : place + 8], "little") + (d[place + 4] & 1)
+
+    # Whether the chain from the first chunk meets `end`, and a data chunk before it.
+    known, path, place = notes.setdefault("riff", {}), [], at + 12
+    while place + 8 <= len(d) and place not in known:
+        path.append(place)
+        place = chunk(place)
+    tree, steps, data = known.get(place, (place, 0, 0))
+    for p in reversed(path):
+        steps, data = steps + 1, data + (d[p : p + 4] == b"data")
+        known[p] = tree, steps, data
+    first = known.get(at + 12)
+    last = known.get(end, (end, 0, 0))
+    if at + 12 >= end or first is None or first[0] != last[0] or first[1] <= last[1] or not _meets(notes, d, chunk, at + 12, end, first[1] - last[1]):
+        return None
+    if form == b"WAVE" and first[2] == last[2]:
         return None
-    return RIFF_TYPES[form], end - start
+    return RIFF_TYPES[form], end - at
+
+
+def _meets(notes: dict, d: bytes, step, start: int, end: int, steps: int) -> bool:
+    """Whether ``end`` is ``steps`` steps from ``start``; by jumps of doubled length, kept in the notes."""
+    jumps = notes.setdefault("riff jumps", {})
 
+    def jump(place: int, level: int) -> int:
+        if level == 0:
+            return step(place) if place + 8 <= len(d) else -1
+        if (place, level) not in jumps:
+            half = jump(place, level - 1)
+            jumps[place, level] = jump(half, level - 1) if half >= 0 else -1
+        return jumps[place, level]
 
-def _flac(d: bytes, at: int):
-    start, at, last = at, at + 4, False
-    if at + 38 > len(d) or d[at] & 0x7F or int.from_bytes(d[at + 1 : at + 4], "big") != 34:
+    at, level = start, 0
+    while steps and at >= 0:
+        if steps & 1:
+            at = jump(at, level)
+        steps, level = steps >> 1, level + 1
+    return at == end
+
+
+def _flac(d: bytes, start: int, notes: dict):
+    if start + 42 > len(d) or d[start + 4] & 0x7F or int.from_bytes(d[start + 5 : start + 8], "big") != 34:
         return None
-    while not last:
+
+    def block(at: int):
         if at + 4 > len(d):
-            return None
-        last, at = bool(d[at] & 0x80), at + 4 + int.from_bytes(d[at + 1 : at + 4], "big")
-    return ("audio/flac", len(d) - start) if at + 2 <= len(d) and d[at] == 0xFF and d[at + 1] & 0xFC == 0xF8 else None
+            return False, None
+        end = at + 4 + int.from_bytes(d[at + 1 : at + 4], "big")
+        return (False, end) if d[at] & 0x80 else (True, end)
 
+    at = _followed(notes, "flac", start + 4, block)
+    return ("audio/flac", len(d) - start) if at and at + 2 <= len(d) and d[at] == 0xFF and d[at + 1] & 0xFC == 0xF8 else None
 
-def _ogg(d: bytes, at: int):
-    start, flags = at, 0
-    while at + 27 <= len(d) and d[at : at + 4] == b"OggS" and d[at + 4] == 0:
-        flags, n = d[at + 5], d[at + 26]
-        if at == start and not flags & 2 or at + 27 + n > len(d):
-            return None
-        at += 27 + n + sum(d[at + 27 : at + 27 + n])
-        if at > len(d):
-            return None
-        if flags & 4:
-            return "audio/ogg", at - start
-    return None
+
+def _ogg(d: bytes, start: int, notes: dict):
+    def page(at: int):
+        if at + 27 > len(d) or d[at : at + 4] != b"OggS" or d[at + 4]:
+            return False, None
+        n = d[at + 26]
+        end = at + 27 + n + sum(d[at + 27 : at + 27 + n])
+        if at + 27 + n > len(d) or end > len(d):
+            return False, None
+        return (False, end) if d[at + 5] & 4 else (True, end)
+
+    end = _followed(notes, "ogg", start, page) if d[start + 5 : start + 6] and d[start + 5] & 2 else None
+    return ("audio/ogg", end - start) if end else None
 
 
-def _pdf(d: bytes, at: int):
+def _pdf(d: bytes, at: int, notes: dict):
+    """Up to the last end mark before the next file's header."""
     if not (d[at + 5 : at + 6].isdigit() and d[at + 6 : at + 7] == b"." and d[at + 7 : at + 8].isdigit()):
         return None
-    end = d.find(b"%%EOF", at)
-    while end >= 0 and (more := d.find(b"%%EOF", end + 5)) >= 0 and d.find(b"%PDF-", end, more) < 0:
-        end = more
-    return ("application/pdf", end + 5 - at) if end >= 0 and d.rfind(b"startxref", at, end) >= 0 else None
+    ends, heads, crossed = (_places(notes, d, m) for m in (b"%%EOF", b"%PDF-", b"startxref"))
+    k = bisect_left(ends, at)
+    if k == len(ends):
+        return None
+    following = bisect_left(heads, ends[k])
+    if following < len(heads):
+        k = max(k, bisect_left(ends, heads[following]) - 1)
+    else:
+        k = len(ends) - 1
+    end, x = ends[k], bisect_left(crossed, at)
+    return ("application/pdf", end + 5 - at) if x < len(crossed) and crossed[x] + 9 <= end else None
 
 
-def _zip(d: bytes, at: int):
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0:
-        if end + 22 > len(d):
+def _zip(d: bytes, at: int, notes: dict):
+    if "zip" not in notes:
+        notes["zip"] = _archives(d, notes)
+    end = notes["zip"].get(at)
+    return ("application/zip", end - at) if end else None
+
+
+def _archives(d: bytes, notes: dict) -> dict[int, int]:
+    """Begin and end of every archive: from the end records, whose directory must hold as many entries as they say."""
+
+    def entry(state: int):
+        if state + 46 > len(d) or d[state : state + 4] != b"PK\x01\x02":
             return None
+        return state + 46 + sum(struct.unpack_from("<HHH", d, state + 28))
+
+    known: dict[int, tuple[int, int]] = {}  # entry -> (where its chain ends, entries up to there)
+    found: dict[int, int] = {}
+    for end in _places(notes, d, b"PK\x05\x06"):
+        if end + 22 > len(d):
+            break
         count, total, size, directory, comment = struct.unpack_from("<HHIIH", d, end + 8)
-        if at + directory + size == end and end + 22 + comment <= len(d) and count == total:
-            entry, seen = end - size, 0
-            while entry + 46 <= end and d[entry : entry + 4] == b"PK\x01\x02":
-                entry, seen = entry + 46 + sum(struct.unpack_from("<HHH", d, entry + 28)), seen + 1
-            if entry == end and seen == total:
-                return "application/zip", end + 22 + comment - at
-        end = d.find(b"PK\x05\x06", end + 1)
-    return None
+        begin = end - size - directory
+        if count != total or begin < 0 or end + 22 + comment > len(d):
+            continue
+        path, place = [], end - size
+        while place not in known and (following := entry(place)) is not None:
+            path.append(place)
+            place = following
+        last, n = known.get(place, (place, 0))
+        for p in reversed(path):
+            n += 1
+            known[p] = last, n
+        if known.get(end - size, (end - size, 0)) == (end, total):
+            found.setdefault(begin, end + 22 + comment)
+    return found
 
 
-def _gzip(d: bytes, at: int):
+def _gzip(d: bytes, at: int, notes: dict):
     if at + 18 > len(d) or d[at + 3] & 0xE0:
         return None
     unpack, fed = zlib.decompressobj(31), at
@@ -224,15 +317,19 @@ def _gzip(d: bytes, at: int):
     return ("application/gzip", min(fed, len(d)) - len(unpack.unused_data) - at) if unpack.eof else None
 
 
-def _mp4(d: bytes, at: int):
-    start, names = at, []
-    while at + 8 <= len(d):
+def _mp4(d: bytes, start: int, notes: dict):
+    known, path, at = notes.setdefault("mp4", {}), [], start  # box -> (end of the chain, whether a moov box follows)
+    while at not in known and at + 8 <= len(d):
         size, name = struct.unpack_from(">I4s", d, at)
         if size < 8 or at + size > len(d) or not name.isalnum():
             break
-        names.append(name)
+        path.append((at, name))
         at += size
-    return ("video/mp4", at - start) if names[:1] == [b"ftyp"] and b"moov" in names else None
+    end, moov = known.get(at, (at, False))
+    for place, name in reversed(path):
+        moov |= name == b"moov"
+        known[place] = end, moov
+    return ("video/mp4", end - start) if moov and d[start + 4 : start + 8] == b"ftyp" else None
 
 
 VALIDATORS: dict[str, Callable] = {
@@ -255,12 +352,12 @@ def _automaton():
 def sniff(data: bytes) -> list[Found]:
     """Validated media in order of offset; what lies inside an earlier embedded item is part of it."""
     found: list[Found] = []
-    covered = 0
+    covered, notes = 0, {}
     for last, (size, before, kind) in _automaton().iter(data.decode("latin-1")):
         start = last + 1 - size - before
         if start < covered:
             continue
-        if held := VALIDATORS[kind](data, start):
+        if start >= 0 and (held := VALIDATORS[kind](data, start, notes)):
             found.append(Found(held[0], start, held[1]))
             covered = start + held[1] if start else 0  # the outermost item may hold others
     return found
@@ -362,11 +459,22 @@ def _describe(batches: Iterator[pa.RecordBatch], keep: list[str]):
 
 
 def describe_media(table: DataFrame, keep: list[str]) -> DataFrame:
-    """For a table with media and declared: proved type, digests, features and embedded items of every row."""
-    fields = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
+    """For a table with media and declared: proved type, digests, features and embedded items of every row.
+
+    A kept column with the name of a result is returned as input_<name>.
+    """
     out = "kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     out += ", embedded array<struct<kind:string,offset:bigint,length:bigint>>"
-    return table.mapInArrow(functools.partial(_describe, keep=keep), f"{fields}, {out}")
+    taken, named = {f.split(" ")[0] for f in out.split(", ")}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name = f"input_{name}"
+        taken.add(name.lower())
+        named.append(name)
+    fields = ", ".join(f"`{n}` {table.schema[c].dataType.simpleString()}" for n, c in zip(named, keep, strict=True))
+    chosen = table.select("media", "declared", *(table[c].alias(n) for n, c in zip(named, keep, strict=True) if n not in ("media", "declared")))
+    return chosen.mapInArrow(functools.partial(_describe, keep=named), f"{fields}, {out}")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import functools
 import json
 import os
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -41,8 +42,10 @@ from factloom.llm.common import documents, id_and_text, write_table
 
 CAPACITY = 1024
 END_ID = 2
-#: Encoded words kept by a Python worker; beyond it the store starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of encoded words kept by a Python worker; beyond it the store starts afresh.
+CACHE_BYTES = 96 << 20
+#: Characters of the longest word that is kept: text without spaces isn't.
+CACHED_WORD = 64
 _RANK_BITS = 40
 
 
@@ -62,7 +65,7 @@ class WordCachedEncoder:
     A single space between two non-space characters always starts a new
     pre-token, so a text is the concatenation of its space-separated chunks,
     and equal chunks have equal ids.  Texts in which a space touches other
-    white space are encoded whole.
+    white space are encoded whole.  Short chunks are kept, up to ``CACHE_BYTES``.
     """
 
     _odd_space = re.compile(r"\A | \Z| \s|\s ")
@@ -76,6 +79,7 @@ class WordCachedEncoder:
         bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ordinary = bpe.encode_ordinary
         self._chunks: dict[str, bytes] = {}
+        self._held = 0
 
     def _encode(self, text: str) -> bytes:
         return array("I", self._ordinary(text)).tobytes()
@@ -90,14 +94,19 @@ class WordCachedEncoder:
         try:
             tail = b"".join([known[w] for w in rest])
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in rest:
-                if w not in known:
-                    known[w] = self._encode(" " + w)
-            tail = b"".join([known[w] for w in rest])
+            tail = b"".join([known.get(w) or self._new(w) for w in rest])
         return self._encode(first) + tail
 
+    def _new(self, word: str) -> bytes:
+        ids = self._encode(" " + word)
+        if len(word) <= CACHED_WORD:
+            if self._held > CACHE_BYTES:
+                self._chunks.clear()
+                self._held = 0
+            self._chunks[word] = ids
+            self._held += sys.getsizeof(word) + sys.getsizeof(ids) + 100
+        return ids
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordCachedEncoder:

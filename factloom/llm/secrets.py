@@ -7,7 +7,9 @@ private keys, OpenSSH private keys, PEM blocks), as a signed token whose header
 names an algorithm, or as printable text in which a base rule matches again.
 A candidate that does not parse is not reported.
 
-A text is searched in full; its long words are looked at first, and the slower
+Every step is linear in the text: lines that begin and end a key block are found
+once and paired in order, and a run of token characters is split once.  A text
+is searched in full; its long words are looked at first, and the slower
 patterns run only where one of them can match, which changes no result.
 
 Defined results: null text counts as empty (no spans); spans count code points,
@@ -22,7 +24,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +44,9 @@ _assign = re.compile(
 _keyword = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex_run = re.compile(r"[0-9a-f]{16,}")
-_token = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){1,3}")
-_pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s:,-]{16,}?)-----END \1-----")
+_token_run = re.compile(r"[A-Za-z0-9_.-]+")
+_pem_line = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,60})-----")
+_pem_body = re.compile(r"[A-Za-z0-9+/=\s:,-]{16,}")
 _b64_run = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _hex_candidate = re.compile(r"[0-9A-Fa-f]{48,}")
 
@@ -162,30 +167,63 @@ def confirmed_kind(data: bytes | None, as_text: bool = True) -> str | None:
         return "der"
     if is_openssh_private_key(data):
         return "openssh"
-    if as_text and all(b in _PRINTABLE for b in data):
+    if as_text and not data.translate(None, _PRINTABLE):
         text = data.decode("ascii")
         if base_spans(text) or confirmed_spans(text):
             return "encoded"
     return None
 
 
-_PRINTABLE = frozenset(range(0x20, 0x7F)) | {9, 10, 13}
+_PRINTABLE = bytes([9, 10, 13, *range(0x20, 0x7F)])
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Where a signed token can be: from ``eyJ``, three to five parts between dots.  Every character is looked at once."""
+    for run in _token_run.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, k = run[0].split("."), run.start(), 0
+        while k < len(parts):
+            begin = parts[k].find("eyJ")
+            if 0 <= begin < len(parts[k]) - 3 and k + 2 < len(parts) and parts[k + 1]:
+                taken = parts[k : k + 5]
+                end = at + sum(map(len, taken)) + len(taken) - 1
+                yield at + begin, end
+                at, k = end + 1, k + len(taken)
+            else:
+                at, k = at + len(parts[k]) + 1, k + 1
+
+
+def _pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body): a BEGIN line, then its END line as the next such line."""
+    last = None
+    for line in _pem_line.finditer(text):
+        if line[1] == "BEGIN":
+            last = line
+        elif last is not None and last[2] == line[2]:
+            if _pem_body.fullmatch(text, last.end(), line.start()):
+                yield last.start(), line.end(), line[2], text[last.end() : line.start()]
+            last = None
+        else:
+            last = None
 
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if "eyJ" in text:
-        found += [(m.start(), "token", m.end()) for m in _token.finditer(text) if is_signed_token(m[0])]
+        found += [(a, "token", b) for a, b in _tokens(text) if is_signed_token(text[a:b])]
     if "-----BEGIN " in text:
-        for m in _pem.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
+        for start, end, label, body in _pem_blocks(text):
+            lines = [x for x in body.split("\n") if ":" not in x]
             data = decode64("".join("".join(lines).split()))
-            if confirmed_kind(data, as_text=False) or (":" in m[2] and "PRIVATE" in m[1] and data):
-                found.append((m.start(), "pem", m.end()))
-    blocks = [(a, b) for a, k, b in found if k in ("pem", "token")]
+            if confirmed_kind(data, as_text=False) or (":" in body and "PRIVATE" in label and data):
+                found.append((start, "pem", end))
+    blocks = sorted((a, b) for a, _, b in found)
+    furthest = list(accumulate((b for _, b in blocks), max))
     for pattern, decode in ((_b64_run, decode64), (_hex_candidate, _unhex)):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in blocks):
+            before = bisect_left(blocks, (m.end(),))
+            if before and furthest[before - 1] > m.start():
                 continue
             if kind := confirmed_kind(decode(m[0])):
                 found.append((m.start(), kind, m.end()))

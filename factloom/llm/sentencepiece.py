@@ -25,8 +25,10 @@ import functools
 import hashlib
 import re
 import struct
+import sys
 import zlib
 from array import array
+from collections import ChainMap
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,8 @@ from factloom.llm.common import documents, id_and_text
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 700_000
+#: Bytes of encoded words kept by a Python worker; beyond it the store starts afresh.
+CACHE_BYTES = 160 << 20
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
@@ -156,6 +159,7 @@ class Codec:
                 self.text.append(b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode("utf-8"))
 
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self._as_lists: tuple | None = None
 
     def __getstate__(self):
@@ -250,19 +254,23 @@ class Codec:
         lengths, ids = length_at.tolist(), id_at.tolist()
         return [self._trace(w, a, b) for w, a, b in zip(words, lengths, ids, strict=True)]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that aren't known yet."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encode words that aren't known yet, and keep them; returns the long ones, which aren't kept."""
+        long: dict[str, bytes] = {}
         classes: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             raw = w.encode("utf-8", "replace")
             if len(raw) > _long:
-                self.known[w] = self._one(raw)
+                long[w] = self._one(raw)
             else:
                 classes.setdefault(max(8, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for width, members in classes.items():
             for at in range(0, len(members), 8192):
                 part = members[at : at + 8192]
-                self.known.update(zip((w for w, _ in part), self._many([r for _, r in part], width), strict=True))
+                for (w, _), ids in zip(part, self._many([r for _, r in part], width), strict=True):
+                    self.known[w] = ids
+                    self.held += sys.getsizeof(w) + sys.getsizeof(ids) + 100
+        return long
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian uint32 bytes."""
@@ -278,12 +286,15 @@ class Codec:
         for at in range(0, len(split), 64):
             part = split[at : at + 64]
             new = {w for words in part for w in words if w not in self.known}
+            found = self.known
             if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
+                if self.held > CACHE_BYTES:
                     self.known.clear()
+                    self.held = 0
                     new = {w for words in part for w in words}
-                self.learn(new)
-            out += [b"".join([self.known[w] for w in words]) for words in part]
+                if long := self.learn(new):
+                    found = ChainMap(long, self.known)
+            out += [b"".join([found[w] for w in words]) for words in part]
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ROW, documents, drop_table, numbered, rows_of, write_table
+from factloom.llm.common import documents, drop_table, numbered, rows_of, write_table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -271,8 +271,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    rows = rows_of(docs, id_col, text_col)
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, row: str | None) -> DataFrame:
+    rows = rows_of(docs, id_col, text_col, row)
     kind = rows.schema["doc_id"].dataType.simpleString()
     make = functools.partial(_fingerprints, shingle_words=shingle_words, keep=["_row", "doc_id"])
     found, _ = write_table(docs.sparkSession, rows.mapInArrow(make, f"_row long, doc_id {kind}, fp long"), "fingerprints")
@@ -285,10 +285,11 @@ def near_duplicates(
     text_col: str = "text",
     shingle_words: int = SHINGLE_WORDS,
     max_bits: int = MAX_BITS,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per input row: _row, doc_id, fingerprint, component_id, kept (one row of each component)."""
     spark = docs.sparkSession
-    found = _fingerprinted(docs, id_col, text_col, shingle_words)
+    found = _fingerprinted(docs, id_col, text_col, shingle_words, row)
     roots = components(spark, links(found.select("fp").distinct(), max_bits))
     labelled = found.join(roots, found["fp"] == roots["node"], "left")
     labelled = labelled.select("_row", "doc_id", "fp", F.coalesce("root", "fp").alias("component"))
@@ -296,6 +297,7 @@ def near_duplicates(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row").alias("row"))).alias("first")
     groups = labelled.groupBy("component").agg(first)
     groups = groups.select("component", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    groups, _ = write_table(spark, groups, "groups")  # so that the join can split a large component
     return labelled.join(groups, "component").select(
         "_row",
         "doc_id",
@@ -307,9 +309,9 @@ def near_duplicates(
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the first of each component."""
-    rows = numbered(docs)
-    kept = near_duplicates(rows, id_col, text_col).filter("kept").select(F.col("_row").alias("_factloom_kept"))
-    return rows.join(kept, F.col(ROW) == F.col("_factloom_kept"), "left_semi").drop(ROW)
+    rows, row = numbered(docs)
+    kept = near_duplicates(rows, id_col, text_col, row=row).filter("kept").select(F.col("_row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*(rows[c] for c in docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,8 @@ HOT_CONTEXTS = 2048
 SEEDS = 16
 #: Bits of the digests of contexts; tests lower those of the first attempt.
 FIRST_DIGEST_BITS = DIGEST_BITS = 64
-SHARD_BYTES = 512 << 10  # what is sorted at once; small enough for a core's cache
-_SEGMENT = 1 << 21  # windows looked at together; positions must fit in 24 bits
+SHARD_BYTES = 1 << 20  # what is sorted at once; small enough for a core's cache
+_SEGMENT = 1 << 16  # bytes looked at together: small enough for a core's cache
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -213,8 +213,8 @@ def _parted(batches: Iterator[pa.RecordBatch], window: int, seed: int, bits: int
                     # Only the contexts' bytes, one after the other.
                     sizes = span + window
                     starts = np.cumsum(sizes) - sizes
-                    for low in range(0, len(place), 1024):
-                        some = slice(low, low + 1024)
+                    for low in range(0, len(place), 128):
+                        some = slice(low, low + 128)
                         data = np.frombuffer(b"".join([text[f : f + n] for f, n in zip(first[some].tolist(), sizes[some].tolist(), strict=True)]), np.uint8)
                         shift = starts[some] - starts[low]
                         rolling = Rolling(data, seed)

@@ -33,8 +33,7 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    encode = packing.encoder(packing.vocabulary_path())
+    encode = packing.text_encoder(packing.vocabulary_path())
     odd = ["", " ", "a", " a", "a ", "a  b", "a \nb", "a\n b", "\t x", "it's 12 o'clock<|endoftext|>", "é x 　y", "x\x1cy z"]
     for t in odd + [text(k) for k in range(0, 200, 7)]:
         assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
