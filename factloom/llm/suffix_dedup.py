@@ -48,7 +48,7 @@ from factloom.llm.induced import Shard
 WINDOW = 200
 ANCHOR = 64
 #: Different contexts of one anchor in one shard; an anchor with more is parted.
-HOT_CONTEXTS = 2048
+HOT_CONTEXTS = 512
 SEEDS = 16
 #: Bits of the digests of contexts; tests lower those of the first attempt.
 FIRST_DIGEST_BITS = DIGEST_BITS = 64
