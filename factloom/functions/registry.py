@@ -91,6 +91,11 @@ FIELD_SCOPES = {
     "runtime": ("rating:typical", "rating:min", "rating:max"),
     "charging_time": ("rating:typical", "rating:min", "rating:max"),
 }
+# Labels of dimensions that say whose they are.
+DIMENSION_SCOPES = {
+    "包装尺寸": "packaging", "package dimensions": "packaging", "packaging dimensions": "packaging",
+    "产品尺寸": "product", "外形尺寸": "product", "product dimensions": "product",
+}
 # Misspelt labels, and labels that name parts of a document.
 LABEL_FIXES = {"噪音": "噪声", "质保期": "保修期", "凈重": "净重", "淨重": "净重"}
 STRUCTURE_LABELS = (
@@ -179,6 +184,8 @@ def labels() -> dict[str, tuple[str, str | None]]:
             found.setdefault(a.lower(), (f.name, f.scope))
             if found[a.lower()][0] == f.name and found[a.lower()][1] is None:
                 found[a.lower()] = (f.name, f.scope)
+    for label, scope in DIMENSION_SCOPES.items():
+        found[label] = "dimensions", scope
     for wrong, right in LABEL_FIXES.items():
         if right in found:
             found[wrong] = found[right]

@@ -76,6 +76,7 @@ _words_before = "|".join(sorted(BOUND_BEFORE, key=len, reverse=True))
 _words_after = "|".join(BOUND_AFTER)
 _tolerance = rf"^({_number})\s*({_unit})?\s*(?:[(（]\s*)?(?:±|\+/-)\s*({_number})\s*({_unit})?\s*[)）]?$"
 _range = rf"^({_number})\s*({_unit})?\s*(?:-|–|—|~|(?i:to)|至|到)\s*({_number})\s*({_unit})$"
+_twice = rf"^({_number}\s*(?:{_unit})?\s*(?:-|–|—|~|(?i:to)|至|到)\s*{_number}\s*{_unit})\s*(?:[(（/]|=)\s*({_number}\s*(?:{_unit})?\s*(?:-|–|—|~|(?i:to)|至|到)\s*{_number}\s*{_unit})\s*[)）]?$"
 _single = rf"^(?i:(≤|≥|<|>|大?约(?:为)?|≈|~|about|approx(?:imately)?\.?))?\s*({_number})\s*({_unit})$"
 _sides = rf"^({_number})\s*[x×*]\s*({_number})(?:\s*[x×*]\s*({_number}))?\s*({_unit})$"
 _count = rf"(?i)^({_number})\s*(?:个|件|只|套|pcs?|pieces?|pack)?$"
@@ -85,6 +86,14 @@ def _table(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def _scaled_by_family(family: Column, number: Column, token: Column) -> Column:
+    """A number in the base unit of its family; null for an unknown unit.  For the few values that state two units."""
+    known = F.create_map(*[x for (f, t), (factor, offset) in registry.units().items() for x in (F.lit(f"{f}|{t}"), F.array(F.lit(factor), F.lit(offset)))])
+    at = lambda t: F.element_at(known, F.concat(family, F.lit("|"), t))
+    unit = F.coalesce(at(token), F.when(F.length(token) > 3, at(F.lower(token))))
+    return F.round(number * unit[0] + unit[1], 9)
+
+
 def normalise(df: DataFrame, out: str = "value") -> DataFrame:
     """Add the normalised value of the column ``raw``, by the columns field, value_type and family.
 
@@ -109,6 +118,9 @@ def normalise(df: DataFrame, out: str = "value") -> DataFrame:
     sized = F.regexp_replace("_text", r"(?i)\s*[(（]\s*L\s*[x×*]\s*W(?:\s*[x×*]\s*H)?\s*[)）]\s*$", "")
     step = stage(step, {"_text": F.when(F.col("value_type") == "dimensions", sized).otherwise(F.col("_text"))})
     quantity = F.col("value_type").isin("number", "capacity")
+    # A range stated again in another unit counts once, if both agree.
+    twice = quantity & F.col("_text").rlike(_twice)
+    step = stage(step, {"_again": F.when(twice, _part(_twice, 2)), "_text": F.when(twice, _part(_twice, 1)).otherwise(F.col("_text"))})
     shape = (
         F.when(quantity & F.col("_text").rlike(_tolerance), "tolerance")
         .when(quantity & F.col("_text").rlike(_range), "range")
@@ -145,12 +157,15 @@ def normalise(df: DataFrame, out: str = "value") -> DataFrame:
     })
     step = stage(step, {"_s1": number_text(F.col("_v1")), "_sd": number_text(F.col("_delta"))})
     unit, shape = F.col("base_unit1"), F.col("_shape")
+    other = lambda n, *us: _scaled_by_family(F.col("_fam1"), _part(_range, n, "_again").cast("double"), F.coalesce(*[_part(_range, u, "_again") for u in us]))
+    agrees = (F.abs(other(1, 2, 4) - F.col("_v1")) <= 1e-6) & (F.abs(other(3, 4) - F.col("_v2")) <= 1e-6)
+    step = stage(step, {"_agrees": F.when(F.col("_again").isNull(), True).otherwise(F.coalesce(agrees, F.lit(False)))})
     sign = F.when(F.col("_sign").isin("≤", "≥", "<", ">"), F.col("_sign")).otherwise("≈")
     sides = F.when(F.col("_n3").isNull(), F.array("_v1", "_v2")).otherwise(F.array("_v1", "_v2", "_v3"))
     unparsed = F.concat(F.lit("unparsed_"), F.when(F.col("value_type") == "number", "unit").otherwise(F.col("value_type")))
     measured = (
         F.when((shape == "tolerance") & unit.isNotNull() & (F.col("_delta") >= 0), _value("tolerance", txt=F.concat("_s1", F.lit("±"), "_sd"), unit=unit, note="qualifier_preserved"))
-        .when((shape == "range") & F.col("_v1").isNotNull() & F.col("_v2").isNotNull(), _value("range", arr=F.array("_v1", "_v2"), unit=unit, note="range_preserved"))
+        .when((shape == "range") & F.col("_v1").isNotNull() & F.col("_v2").isNotNull() & F.col("_agrees"), _value("range", arr=F.array("_v1", "_v2"), unit=unit, note="range_preserved"))
         .when((shape == "single") & unit.isNotNull() & F.col("_sign").isNotNull(), _value("bound", txt=F.concat(sign, "_s1"), unit=unit, note="qualifier_preserved"))
         .when((shape == "single") & unit.isNotNull(), _value("number", num=F.col("_v1"), unit=unit))
         .when((shape == "sides") & unit.isNotNull(), _value("dimensions", arr=sides, unit=unit, note="dimension_order_preserved"))

@@ -91,6 +91,16 @@ def _electrical(rows: DataFrame) -> DataFrame:
     return each.withColumns({"field": field, "label_scope": F.col("_direction"), "raw": F.col("_quantity")}).drop("_direction", "_quantity")
 
 
+def _with_marks(field: Column, scope: Column, text: Column) -> Column:
+    """A scope with what the text itself marks: the only kind of current of a voltage or current, the axes of dimensions."""
+    signals = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z])(?:[mk]?[va])?\s*(ac|dc)\b"), F.lit(1)), lambda s: F.lower(s)))
+    signal = F.when(field.isin("voltage", "current") & (F.size(signals) == 1), F.concat(F.lit("signal:"), signals[0]))
+    sides = F.regexp_extract(text, r"(?i)\b([LWHD]\s*[x×*]\s*[LWHD](?:\s*[x×*]\s*[LWHD])?)\b", 1)
+    axes = F.when((field == "dimensions") & (sides != ""), F.concat(F.lit("axes:"), F.upper(F.regexp_replace(sides, r"(?i)\s*[x×*]\s*", "×"))))
+    mark = F.coalesce(signal, axes)
+    return F.when(mark.isNull(), scope).otherwise(F.array_join(F.array_distinct(F.array_compact(F.concat(F.split(scope, r"\|"), F.array(mark)))), "|"))
+
+
 def candidates(blocks: DataFrame) -> DataFrame:
     """Fact candidates of blocks (block_id, source_file, file_hash, position, text, atomic, recognition_confidence)."""
     spark = blocks.sparkSession
@@ -112,6 +122,7 @@ def candidates(blocks: DataFrame) -> DataFrame:
         "mapping_confidence": F.when(F.col("rule").isin("pair") & F.col("confidence").isNull(), 0.95).otherwise(F.coalesce("confidence", F.lit(0.95))),
         "scope": F.coalesce("label_scope", "default_scope"),
     })
+    rows = stage(rows, {"scope": _with_marks(F.col("field"), F.col("scope"), F.col("segment"))})
     if "parents" in rows.columns:  # what a table says above or beside a parameter qualifies it
         named = F.create_map(*[F.lit(x) for p in {"input": "input", "output": "output", "输入": "input", "输出": "output"}.items() for x in p])
         above = F.transform(F.split("parents", r"\|"), lambda x: F.coalesce(named[F.lower(x)], F.concat(F.lit("context:"), fact_text(x))))

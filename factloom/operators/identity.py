@@ -58,7 +58,7 @@ def resolve_products(candidates: DataFrame) -> DataFrame:
     rows = candidates if "row_id" in candidates.columns else candidates.withColumn("row_id", F.lit(None).cast("string"))
     rows = expand_tokens(rows)
     rows = stage(rows, {
-        "_order": F.col("position").cast("long") * 1_000_000 + F.col("seq"),
+        "_order": F.struct(F.col("position").cast("long").alias("position"), F.col("seq").alias("seq")),
         "_row": F.coalesce(F.concat(F.lit("row:"), "row_id"), F.concat_ws(":", F.lit("block"), "block_id", F.coalesce("applies_to", F.lit("")))),
         "_prose": F.col("row_id").isNull(),
     })
@@ -71,15 +71,17 @@ def resolve_products(candidates: DataFrame) -> DataFrame:
 
     # One SKU (and at most one model) in a file's prose covers the prose; else sections.
     file = Window.partitionBy("source_file")
-    skus = F.size(F.collect_set("_sku").over(file))
     in_prose = lambda f: F.when((F.col("field") == f) & F.col("_prose"), clean_text(F.col("raw")))
     rows = windowed(rows, {
-        "_n_skus": skus, "_n_models": F.size(F.collect_set(in_prose("model")).over(file)), "_file_sku": F.min(F.when(F.col("_prose"), F.col("_sku"))).over(file),
+        "_low_sku": F.min("_sku").over(file), "_high_sku": F.max("_sku").over(file),
+        "_low_model": F.min(in_prose("model")).over(file), "_high_model": F.max(in_prose("model")).over(file), "_file_sku": F.min(F.when(F.col("_prose"), F.col("_sku"))).over(file),
         "_file_model": F.min_by(F.when(F.col("_prose") & (F.col("field") == "model"), F.col("raw")), "_order").over(file),
         "_file_variant": F.min_by(F.when(F.col("_prose") & (F.col("field") == "variant"), F.col("raw")), "_order").over(file),
     })
-    single = (F.col("_n_skus") == 1) & F.col("_file_sku").isNotNull() & (F.col("_n_models") <= 1)
-    heading = F.when(single, F.lit(None)).when(F.col("_n_skus") > 1, "sku").when((F.col("_n_skus") == 0) & (F.col("_n_models") > 1), "model")
+    one_sku, several_skus = F.col("_low_sku") == F.col("_high_sku"), F.col("_low_sku") < F.col("_high_sku")
+    several_models = F.coalesce(F.col("_low_model") < F.col("_high_model"), F.lit(False))
+    single = F.coalesce(one_sku & F.col("_file_sku").isNotNull(), F.lit(False)) & ~several_models
+    heading = F.when(single, F.lit(None)).when(several_skus, "sku").when(F.col("_low_sku").isNull() & several_models, "model")
     rows = stage(rows, {"_single": single, "_heading": heading})
     is_head = F.col("field") == F.col("_heading")
     resets = F.when(F.col("_heading").isNotNull() & (is_head | ~F.col("_prose")), 1).otherwise(0)
@@ -104,7 +106,7 @@ def resolve_products(candidates: DataFrame) -> DataFrame:
         "_variant": F.when(F.col("_from.pid").isNotNull(), F.col("_from.variant")).otherwise(F.col("_variant")),
         "_pid": F.coalesce("_from.pid", "_pid"),
     })
-    rows = rows.drop("_n_skus", "_n_models", "_file_sku", "_file_model", "_file_variant", "_single", "_heading", "_section", "_anchor", "_from")
+    rows = rows.drop("_low_sku", "_high_sku", "_low_model", "_high_model", "_file_sku", "_file_model", "_file_variant", "_single", "_heading", "_section", "_anchor", "_from")
 
     # SKU rows learn the model of their product; a model learns its only SKU.
     known = rows.filter("_sku is not null and _model is not null").groupBy(F.col("_pid").alias("_known_pid")).agg(
@@ -151,7 +153,8 @@ def resolve_products(candidates: DataFrame) -> DataFrame:
 
     # Different stated specifications under a bare model may be variants; charge capacity joins the battery field.
     spec = F.col("field").isin("length", "capacity", "capacity_charge", "capacity_volume") & F.col("_sku").isNull() & F.col("_model").isNotNull() & F.col("_variant").isNull()
-    rows = windowed(rows, {"_kinds": F.size(F.collect_set(F.when(spec, F.col("value_key"))).over(Window.partitionBy("_pid", "field", "scope")))})
+    stated, same = F.when(spec, F.col("value_key")), Window.partitionBy("_pid", "field", "scope")
+    rows = windowed(rows, {"_kinds": F.when(F.min(stated).over(same) < F.max(stated).over(same), 2).otherwise(1)})
     product = Window.partitionBy("_pid")
     rows = windowed(rows, {"_unsure": F.max(F.when(F.col("_kinds") > 1, 1).otherwise(0)).over(product), "_battery": F.max(F.when(F.col("field") == "capacity_charge", 1).otherwise(0)).over(product)})
     status = F.when(F.col("_unsure") == 1, "ambiguous").otherwise(F.col("_status"))

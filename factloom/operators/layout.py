@@ -67,9 +67,15 @@ def overlap_ratio(top: Column, bottom: Column, other_top: Column, other_bottom:
 
 
 def nearest_label(values: DataFrame, labels: DataFrame, key: str, reach: float, tie: float) -> DataFrame:
-    """Each value's nearest label (x, y) within ``reach``; none if the next one is within ``tie`` of it."""
-    v = values.select(key, "value_id", F.col("x").alias("_vx"), F.col("y").alias("_vy"))
-    pairs = v.join(labels.select(key, "label_id", F.col("x").alias("_lx"), F.col("y").alias("_ly")), key)
+    """Each value's nearest label (x, y) within ``reach``; none if the next one is within ``tie`` of it.
+
+    They meet in grid cells as wide as the reach: a label in its own, a value in that and the eight around it.
+    """
+    cell = lambda c: F.floor(F.col(c).cast("double") / reach)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    v = values.select(key, "value_id", F.col("x").alias("_vx"), F.col("y").alias("_vy"), around("x").alias("_column")).withColumn("_row", F.explode(F.sequence(F.floor(F.col("_vy").cast("double") / reach) - 1, F.floor(F.col("_vy").cast("double") / reach) + 1)))
+    placed = labels.select(key, "label_id", F.col("x").alias("_lx"), F.col("y").alias("_ly"), cell("x").alias("_column"), cell("y").alias("_row"))
+    pairs = v.join(placed, [key, "_column", "_row"]).drop("_column", "_row")
     pairs = pairs.withColumn("distance", F.round(F.sqrt(F.pow(F.col("_vx") - F.col("_lx"), 2) + F.pow(F.col("_vy") - F.col("_ly"), 2)), 6))
     by = Window.partitionBy(key, "value_id").orderBy("distance", "label_id")
     ranked = pairs.filter(F.col("distance") <= reach).withColumns({"_n": F.row_number().over(by), "_next": F.lead("distance").over(by)})

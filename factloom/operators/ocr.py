@@ -11,6 +11,8 @@ from factloom.functions import registry
 from factloom.operators.layout import overlap_ratio
 
 SURE, USABLE = 0.97, 0.88
+#: Height of the strips of a page in which lines meet.
+STRIP = 16
 _labels = "|".join(re.escape(x) for x in sorted(registry.labels(), key=lambda x: (-len(x), x)))
 _units = "|".join(re.escape(x) for x in sorted(registry.spellings(), key=lambda x: (-len(x), x)))
 
@@ -39,7 +41,14 @@ def pair_rows(lines: DataFrame) -> DataFrame:
     value = lines.filter(is_value_fragment(F.col("text")))
     l = label.select("image", F.col("line_id").alias("label_id"), F.col("text").alias("label"), F.col("x1").alias("_lx1"), F.col("y0").alias("_ly0"), F.col("y1").alias("_ly1"))  # noqa: E741
     v = value.select("image", F.col("line_id").alias("value_id"), F.col("text").alias("value"), F.col("x0").alias("_vx0"), F.col("y0").alias("_vy0"), F.col("y1").alias("_vy1"))
-    near = l.join(v, "image").filter((F.col("_vx0") >= F.col("_lx1")) & (overlap_ratio(F.col("_ly0"), F.col("_ly1"), F.col("_vy0"), F.col("_vy1")) >= 0.6))
+    # The middle of the lower of two lines that share most of a row lies in the other: they meet in a strip of the page.
+    strip = lambda y: F.floor(y / STRIP)
+    middle = lambda a, b: strip((F.col(a) + F.col(b)) / 2).alias("_strip")
+    span = lambda a, b: F.explode(F.sequence(strip(F.col(a)), strip(F.greatest(F.col(a), F.col(b))))).alias("_strip")
+    one = l.select("*", span("_ly0", "_ly1")).join(v.select("*", middle("_vy0", "_vy1")), ["image", "_strip"])
+    other = l.select("*", middle("_ly0", "_ly1")).join(v.select("*", span("_vy0", "_vy1")), ["image", "_strip"])
+    near = one.unionByName(other).drop("_strip").dropDuplicates(["image", "label_id", "value_id"])
+    near = near.filter((F.col("_vx0") >= F.col("_lx1")) & (overlap_ratio(F.col("_ly0"), F.col("_ly1"), F.col("_vy0"), F.col("_vy1")) >= 0.6))
     near = near.withColumns({"_of_label": F.count(F.lit(1)).over(Window.partitionBy("image", "label_id")), "_of_value": F.count(F.lit(1)).over(Window.partitionBy("image", "value_id"))})
     joined = F.concat(F.regexp_replace("label", r"\s*[:：]\s*$", ""), F.lit(": "), "value")
     return near.filter("_of_label = 1 and _of_value = 1").select("image", "label_id", "value_id", joined.alias("text"))

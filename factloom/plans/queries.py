@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.values import clean_text, normalise, number_text
 from factloom.operators import claims, decisions, delivery, evaluate, extract, groups, identity, layout, segments
+from factloom.plans import draft_check
+from factloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,29 +157,37 @@ def extract_label_value_part(spark, sf):
     return found.select(F.substring_index("block_id", "-", -1).cast("long").alias("p_partkey"), "field", value.alias("value"))
 
 
-@query(r"""
-SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda x: trim(x) <> '')) AS lines,
-  len(regexp_extract_all(coalesce(text, ''), '[.!?](?:\s|$)')) AS sentence_ends
+def _as_files(rows: DataFrame, name: Column, kind: str, content: Column) -> DataFrame:
+    """Rows as files, the way ``files.discover`` lists them."""
+    data = F.coalesce(content, F.lit("")).cast("binary")
+    return rows.select(name.alias("source_file"), F.sha2(data, 256).alias("file_hash"), F.lit(kind).alias("kind"), data.alias("content"), F.lit(None).cast("string").alias("skip_reason"))
+
+
+_LINES = r"""
+SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines
 FROM documents
-""")
+"""
+
+
+@query(f"SELECT doc_id, len(lines) AS lines, list_sum(list_transform(lines, lambda x: length(x))) AS characters FROM ({_LINES}) WHERE len(lines) > 0")
 def text_lines_documents(spark, sf):
-    """Non-empty lines and sentence ends of every text."""
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    return d.select("doc_id", F.size(lines).alias("lines"), F.size(F.regexp_extract_all("text", F.lit(r"[.!?](?:\s|$)"), F.lit(0))).alias("sentence_ends"))
+    """Every text read as a file: its lines that say something, and their characters."""
+    d = _as_files(table(spark, sf, "documents"), F.concat(F.col("doc_id"), F.lit(".txt")), ".txt", F.col("text"))
+    read = files.evidence(files.read_blocks(d))
+    per = read.groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("text")).alias("characters"))
+    return per.select(F.substring_index("source_file", ".", 1).cast("long").alias("doc_id"), "lines", "characters")
 
 
-@query(r"""
-SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS heading,
-  CASE WHEN regexp_matches(list_aggregate(list_slice(string_split(coalesce(text, ''), chr(10)), 1, 6), 'string_agg', chr(10)), '(?i)content[_ -]?draft|token') THEN 'draft' ELSE 'evidence' END AS role
-FROM documents
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR regexp_matches(array_to_string(lines[1:6], chr(10)), '(?i)文案待(?:回检|核查)|(?:商品介绍|电商文案)(?:测试稿|草稿)|content[_ -]?draft') THEN 'draft' ELSE 'evidence' END AS role, doc_id % 5 = 0 AS historical
+FROM ({_LINES}) WHERE len(lines) > 0
 """)
 def document_role(spark, sf):
-    """Role of a document by its first six lines (a draft certifies nothing)."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    d = table(spark, sf, "documents").select("doc_id", lines.alias("lines"))
-    head = F.array_join(F.slice("lines", 1, 6), "\n")
-    return d.select("doc_id", F.col("lines")[0].alias("heading"), F.when(head.rlike("(?i)content[_ -]?draft|token"), "draft").otherwise("evidence").alias("role"))
+    """Role of every document by its name and first lines (a draft certifies nothing), and whether its name says it is old."""
+    mark = F.concat(F.when(F.col("doc_id") % 3 == 0, "content_draft-").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "obsolete-").otherwise(""))
+    d = _as_files(table(spark, sf, "documents"), F.concat(mark, F.lit("text-"), F.col("doc_id"), F.lit(".txt")), ".txt", F.col("text"))
+    found = segments.document_context(files.evidence(files.read_blocks(d)))
+    return found.select(F.regexp_extract("source_file", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "role", "historical")
 
 
 @query(r"""
@@ -192,12 +202,13 @@ def segments_orders(spark, sf):
 
 
 @query(r"""
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_valid(props) THEN 'ok' ELSE 'rejected' END AS state FROM events
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 7 = 0 THEN 'duplicate_key' END AS issue FROM events
 """)
 def json_walk_events(spark, sf):
-    """Leaves of JSON properties; text that is no JSON is rejected, not repaired."""
-    parsed = F.from_json("props", "k bigint")
-    return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.when(F.try_parse_json("props").isNotNull(), "ok").otherwise("rejected").alias("state"))
+    """Leaves of JSON properties; a key that is there twice is refused, not repaired."""
+    body = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"k": 0, '), F.substring("props", F.lit(2), F.length("props")))).otherwise(F.col("props"))
+    read = files.read_blocks(_as_files(table(spark, sf, "events"), F.col("event_id").cast("string"), ".json", body))
+    return read.select(F.col("source_file").cast("long").alias("event_id"), F.nullif(F.regexp_extract("text", "^k: (.*)$", 1), F.lit("")).cast("long").alias("k"), "issue")
 
 
 @query(r"""
@@ -325,7 +336,7 @@ FROM c LEFT JOIN f ON c.p_partkey = f.p_partkey
 
 def _claim_outcomes(spark, sf):
     p = table(spark, sf, "part")
-    field = F.concat(F.lit("length:"), F.col("p_partkey"))
+    field = F.lit("length")
     facts = p.filter("p_partkey % 6 <> 0").select(
         F.col("p_partkey").alias("fact_id"), field.alias("fact_field"), F.col("p_partkey").alias("fact_product_id"), F.when(F.col("p_partkey") % 4 != 0, "net").alias("fact_scope"),
         (F.col("p_size") * 10.0).alias("fact_value"), F.lit("mm").alias("fact_unit"),
@@ -352,6 +363,28 @@ def draft_status_parts(spark, sf):
     return claims.draft_status(_claim_outcomes(spark, sf).withColumn("draft_id", F.col("claim_id") % 100))
 
 
+@query("""
+SELECT p_partkey AS draft_id, CAST(1 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS claims,
+  CAST(CASE WHEN p_partkey % 6 = 0 OR p_partkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS blocking,
+  CASE WHEN p_partkey % 6 = 0 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'blocked' WHEN p_partkey % 11 = 0 THEN 'needs_review' ELSE 'covered_fields_match' END AS draft_status
+FROM part
+""")
+def draft_check_parts(spark, sf):
+    """Drafts about parts, from their text to findings: a length in another unit, a promise no fact supports, a number without a field."""
+    p = table(spark, sf, "part")
+    name = F.concat(F.lit("P"), "p_partkey")
+    wrong = F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") * 10 + 1).otherwise(F.col("p_size") * 10)
+    text = F.concat(name, F.lit(" Length: "), wrong, F.lit(" mm。"), F.when(F.col("p_partkey") % 7 == 0, "适合户外。").otherwise(""), F.when(F.col("p_partkey") % 11 == 0, "It carries 5 kg").otherwise(""))
+    drafts = p.select(F.col("p_partkey").alias("draft_id"), text.alias("text"))
+    fact = lambda rows, field, raw, kind, family: rows.select(
+        F.concat(F.lit(field), "p_partkey").alias("fact_id"), F.lit(field).alias("field"), F.lit(None).cast("string").alias("scope"), raw.alias("raw"),
+        F.lit(kind).alias("value_type"), F.lit(family).cast("string").alias("family"), name.alias("product_id"),
+    )
+    lengths = fact(p.filter("p_partkey % 6 <> 0"), "length", F.concat("p_size", F.lit(" cm")), "number", "length")
+    facts = normalise(fact(p, "sku", name, "text", None).unionByName(lengths))
+    return draft_check.check(drafts, facts).drafts.select("draft_id", "claims", "blocking", "draft_status")
+
+
 @query("""
 WITH w AS (SELECT DISTINCT o_orderkey, CAST(regexp_extract_all('order of P' || o_custkey || CASE WHEN o_orderkey % 4 = 0 THEN ' or P' || (o_custkey + 1) ELSE '' END || ' today', 'P([0-9]+)', 1) AS VARCHAR[]) AS names FROM orders),
 h AS (SELECT o_orderkey, CAST(unnest(names) AS BIGINT) AS p FROM w),
@@ -413,7 +446,7 @@ def bbox_union(spark, sf):
 
 
 @query("""
-SELECT w.vec_id AS word_id, b.vec_id AS box_id FROM embeddings w JOIN embeddings b ON w.label = b.label AND b.vec_id % 10 = 0
+SELECT w.vec_id AS word_id, b.vec_id AS box_id FROM embeddings w JOIN embeddings b ON w.label = b.label
 WHERE w.embedding[1] >= b.embedding[1] AND w.embedding[2] >= b.embedding[2] AND w.embedding[1] <= b.embedding[1] + 0.2 AND w.embedding[2] <= b.embedding[2] + 0.2
 """)
 def bbox_contain(spark, sf):
@@ -426,8 +459,9 @@ def bbox_contain(spark, sf):
 
 @query(r"""
 WITH l AS (SELECT page_id, regexp_extract_all(html, '[A-Za-z]{9,}') AS words FROM pages),
-n AS (SELECT page_id, i - 1 AS place, words[i] AS label FROM l, range(1, 13) r(i) WHERE i <= len(words))
-SELECT page_id, CAST(place AS INTEGER) AS place, label FROM n WHERE (place, label) NOT IN (SELECT (place, label) FROM n GROUP BY place, label HAVING count(DISTINCT page_id) >= 2)
+n AS (SELECT page_id, unnest(words) AS label, generate_subscripts(words, 1) - 1 AS place FROM l),
+r AS (SELECT place, label FROM n GROUP BY place, label HAVING count(DISTINCT page_id) >= 2)
+SELECT page_id, CAST(n.place AS INTEGER) AS place, n.label FROM n ANTI JOIN r ON n.place = r.place AND n.label = r.label
 """)
 def running_margin_pages(spark, sf):
     """All long words of a page, without those that come back on other pages at the same place."""
@@ -454,7 +488,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label, value_id ORDER BY distanc
 SELECT value_id, label_id FROM r WHERE n = 1 AND (nxt IS NULL OR nxt - distance >= 0.01)
 """)
 def nearest_labels(spark, sf):
-    """Each value's nearest label of its page, if no other is about as near."""
+    """Each value's nearest label of its page, if no other is about as near (two vectors of three are values, the third a label)."""
     e, t = F.col("embedding"), table(spark, sf, "embeddings")
     at = [e[0].cast("double").alias("x"), e[1].cast("double").alias("y")]
     values = t.filter("vec_id % 3 <> 0").select("label", F.col("vec_id").alias("value_id"), *at)
@@ -508,3 +542,48 @@ def part_length_facts(spark, sf):
     done = analyse(part_blocks(spark, sf))
     facts = done.groups.filter("field = 'length'").join(done.products.select("product_id", "sku"), "product_id")
     return facts.select("sku", "fact_status", "classification", F.col("candidate_count").cast("int").alias("candidate_count"), F.round("selected_value.num", 4).alias("length_mm"))
+
+
+_STATUS_TEXT = {
+    # Remainder of the part's key: what its two files say of one field; the second may say nothing.
+    0: ("Net weight: 300 g", ""), 1: ("Net weight: 300 g", "Net weight: 300 g"), 2: ("Net weight: 300 g", "Net weight: 0.3 kg"), 3: ("Net weight: 300 g", "Net weight: 320 g"),
+    4: ("Pressure: 100 kPa", "Pressure: 160 kPa"), 5: ("Net weight: 5 stone", ""), 6: ("Net weight: 300 g", "Net weight: ≤300 g"), 7: ("Net weight: -5 g", ""),
+    8: ("Material: steel", "Material: steel plate"), 9: ("Voltage: 5 V", ""),
+}
+_STATUS_SQL = """
+SELECT p_partkey, c[1] AS field, c[2] AS classification, c[3] AS fact_status, c[4] AS review_reason, c[5] AS verification_method, CAST(c[6] AS BIGINT) AS sources
+FROM (SELECT p_partkey, CASE p_partkey % 10
+  WHEN 0 THEN ['net_weight', 'insufficient_evidence', 'verified', NULL, 'single_value', '1']
+  WHEN 1 THEN ['net_weight', 'exact_match', 'verified', NULL, 'cross_source_exact', '2']
+  WHEN 2 THEN ['net_weight', 'converted_match', 'verified', NULL, 'cross_source_converted', '2']
+  WHEN 3 THEN ['net_weight', 'strong_conflict', 'conflict', NULL, NULL, '2']
+  WHEN 4 THEN ['pressure', 'likely_version_update', 'pending_confirmation', 'version_unclear', NULL, '2']
+  WHEN 5 THEN ['net_weight', 'insufficient_evidence', 'pending_confirmation', 'unclear_value', NULL, '1']
+  WHEN 6 THEN ['net_weight', 'strong_conflict', 'pending_confirmation', 'compatible_expression', NULL, '2']
+  WHEN 7 THEN ['net_weight', 'insufficient_evidence', 'pending_confirmation', 'invalid_value', NULL, '1']
+  WHEN 8 THEN ['material', 'compatible_expression', 'pending_confirmation', 'compatible_expression', NULL, '2']
+  ELSE ['voltage', 'insufficient_evidence', 'pending_confirmation', 'scope_unclear', NULL, '1'] END AS c FROM part)
+"""
+
+
+@query(_STATUS_SQL)
+def fact_status_parts(spark, sf):
+    """Every classification and status of a fact, from two files of text for each part, through the whole analysis."""
+    from factloom.plans.analysis import analyse
+
+    p = table(spark, sf, "part")
+
+    def blocks(side: int) -> DataFrame:
+        said = F.create_map(*[F.lit(x) for k, texts in _STATUS_TEXT.items() for x in (k, texts[side])])[(F.col("p_partkey") % 10).cast("int")]
+        name = F.concat(F.lit("spec-"), "p_partkey", F.when(F.col("p_partkey") % 10 == 4, F.lit(f"_v{side + 1}.0")).otherwise(F.lit(('-a', '-b')[side])), F.lit(".txt"))
+        text = F.concat(F.lit("SKU: P"), "p_partkey", F.lit("\n"), said)
+        return p.filter(said != "").select(
+            F.concat(name, F.lit(":0")).alias("block_id"), name.alias("source_file"), F.sha2(F.concat(F.lit(f"{side}"), text), 256).alias("file_hash"), F.lit(0).alias("position"),
+            text.alias("text"), F.lit(False).alias("atomic"), F.lit(1.0).alias("recognition_confidence"),
+        )
+
+    done = analyse(blocks(0).unionAll(blocks(1)))
+    facts = done.groups.filter("field <> 'sku'").join(done.products.select("product_id", "sku"), "product_id")
+    return facts.select(
+        F.substring("sku", 2, 20).cast("long").alias("p_partkey"), "field", "classification", "fact_status", "review_reason", "verification_method", F.col("independent_source_count").cast("long").alias("sources")
+    )

@@ -285,6 +285,13 @@ def read_blocks(files: DataFrame) -> DataFrame:
     names = [f.strip().split(" ")[0] for f in BLOCKS.split(", ")]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame(rows).reindex(columns=names)
+            rows.clear()
+            return made.astype(object).where(made.notna(), None)
+
         for frame in frames:
             for f in frame.itertuples():
                 try:
@@ -293,9 +300,11 @@ def read_blocks(files: DataFrame) -> DataFrame:
                     found = list(read_file(f.kind, f.content))
                 except Exception as error:  # a bad file is a row, it must not fail the others
                     found = [_block("", "file", {}, issue=str(error)[:200] or type(error).__name__)]
-                rows = [{"source_file": f.source_file, "file_hash": f.file_hash, "position": k} | b for k, b in enumerate(found)]
-                out = pd.DataFrame(rows).reindex(columns=names)
-                yield out.astype(object).where(out.notna(), None)
+                rows += [{"source_file": f.source_file, "file_hash": f.file_hash, "position": k} | b for k, b in enumerate(found)]
+                if len(rows) >= 4096:
+                    yield out()
+        if rows:
+            yield out()
 
     blocks = files.select("source_file", "file_hash", "kind", "content", "skip_reason").mapInPandas(parse, BLOCKS)
     return blocks.withColumn("block_id", F.substring(F.sha2(F.concat_ws("\x1f", "source_file", "file_hash", "locator", "text"), 256), 1, 20))
