@@ -94,11 +94,11 @@ def _electrical(rows: DataFrame) -> DataFrame:
 def _with_marks(field: Column, scope: Column, text: Column) -> Column:
     """A scope with what the text itself marks: the only kind of current of a voltage or current, the axes of dimensions."""
     signals = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z])(?:[mk]?[va])?\s*(ac|dc)\b"), F.lit(1)), lambda s: F.lower(s)))
-    signal = F.when(field.isin("voltage", "current") & (F.size(signals) == 1), F.concat(F.lit("signal:"), signals[0]))
+    signal = F.when(field.isin("voltage", "current") & (F.size(signals) == 1), F.concat(F.lit("signal:"), F.get(signals, F.lit(0))))
     sides = F.regexp_extract(text, r"(?i)\b([LWHD]\s*[x×*]\s*[LWHD](?:\s*[x×*]\s*[LWHD])?)\b", 1)
     axes = F.when((field == "dimensions") & (sides != ""), F.concat(F.lit("axes:"), F.upper(F.regexp_replace(sides, r"(?i)\s*[x×*]\s*", "×"))))
     mark = F.coalesce(signal, axes)
-    return F.when(mark.isNull(), scope).otherwise(F.array_join(F.array_distinct(F.array_compact(F.concat(F.split(scope, r"\|"), F.array(mark)))), "|"))
+    return F.when(mark.isNull(), scope).otherwise(F.array_join(F.array_distinct(F.filter(F.concat(F.split(F.coalesce(scope, F.lit("")), r"\|"), F.array(mark)), lambda x: x != "")), "|"))
 
 
 def candidates(blocks: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def product_entities(candidates: DataFrame) -> DataFrame:
         first("sku").alias("sku"), first("model").alias("model"), F.array_sort(F.collect_set("variant")).alias("variants"),
         F.min("identity_status").alias("identity_status"), F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids"),
     )
-    named = F.coalesce("sku", F.nullif(F.concat_ws(" / ", "model", F.element_at("variants", F.lit(1))), F.lit("")), F.lit("Ambiguous product"))
+    named = F.coalesce("sku", F.nullif(F.concat_ws(" / ", "model", F.get("variants", F.lit(0))), F.lit("")), F.lit("Ambiguous product"))
     return per.withColumn("label", F.when(F.col("identity_status") == "dataset_default", "Dataset").otherwise(named))
 
 

@@ -47,6 +47,7 @@ SCOPES = [
     ("包装尺寸：10×20×30mm", "dimensions", "packaging", "mm|[10,20,30]"),
     ("产品尺寸：99*82*30mm (L*W*H)", "dimensions", "product|axes:L×W×H", "mm|[99,82,30]"),
     ("尺寸：10x20 mm", "dimensions", None, "mm|[10,20]"),
+    ("尺寸：10x20 mm (L×W)", "dimensions", "axes:L×W", "mm|[10,20]"),
     ("输入电压：12V DC", "voltage", "input|signal:dc", "V|12"),
     ("工作温度：0°C~40°C (32°F~104°F)", "temperature", "operating", "°C|[0,40]"),
     ("工作温度：0°C~40°C (32°F~105°F)", "temperature", "operating", "|0°C~40°C (32°F~105°F)"),
@@ -63,3 +64,10 @@ def test_sizes_of_box_and_product_are_no_conflict(spark):
     done = analyse(blocks(spark, {"a.txt": "SKU: A\n包装尺寸：10×20×30mm", "b.txt": "SKU: A\n产品尺寸：1×2×3mm"}))
     facts = {r["scope"]: r["fact_status"] for r in done.groups.filter("field = 'dimensions'").collect()}
     assert facts == {"packaging": "verified", "product": "verified"}
+
+
+def test_a_model_without_sku_and_variant(spark):
+    done = analyse(blocks(spark, {"a.txt": "型号：A100\n电池容量：2000mAh\n容量：2Ah"}))
+    assert [(r["label"], r["variants"]) for r in done.products.collect()] == [("A100", [])]
+    fact = done.groups.filter("field = 'capacity_charge'").first()
+    assert (fact["fact_status"], fact["selected_value"]["num"]) == ("verified", 2000.0)
