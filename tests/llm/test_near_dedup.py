@@ -50,7 +50,10 @@ def stage(spark, rows):
     return sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
 
 
-def test_near_copies_beyond_two_bits(spark):
+@pytest.mark.parametrize("limit", [512, 15])
+def test_near_copies_beyond_two_bits(spark, limit, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP_LIMIT", limit)
+    RNG.seed(5)
     base, rows = text(200), []
     for i in range(40):
         if i % 8 == 0:
@@ -84,3 +87,18 @@ def test_links_connect_every_near_pair(share):
     for a, b in found:
         root[top(a)] = top(b)
     assert all(top(a) == top(b) for a, b in combinations(range(60), 2) if near(a, b))
+
+
+def test_a_group_too_large_for_one_task(spark, monkeypatch):
+    """Copies of one text around a chain of ever more edited ones: some members are near others, but not the leader."""
+    monkeypatch.setattr(near_dedup, "GROUP_LIMIT", 20)
+    base = text(400)
+    rows = [(k, " ".join(edited(base, 2))) for k in range(25)]
+    now = list(base)
+    for k in range(25):
+        now = edited(now, 6)
+        rows.append((100 + k, " ".join(now)))
+    assert stage(spark, rows) == kept_ids(rows)
+    found = [(r["u"], r["v"]) for r in near_dedup.links(spark.createDataFrame(list(enumerate(t for _, t in rows)), "_row long, text string")).collect()]
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in found)
