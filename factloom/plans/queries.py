@@ -453,7 +453,8 @@ def bbox_contain(spark, sf):
     """Words in the boxes of their page (every vector is a word and a box)."""
     e, t = F.col("embedding"), table(spark, sf, "embeddings")
     words = t.select("label", F.col("vec_id").alias("word_id"), e[0].alias("x0"), e[1].alias("y0"), e[0].alias("x1"), e[1].alias("y1"))
-    boxes = t.select("label", F.col("vec_id").alias("box_id"), e[0].alias("left"), e[1].alias("top"), (e[0] + F.lit(0.2)).alias("right"), (e[1] + F.lit(0.2)).alias("bottom"))
+    side = F.lit(0.2).cast("float")  # the corners are floats, as in SQL: a sum in double would lie beside theirs
+    boxes = t.select("label", F.col("vec_id").alias("box_id"), e[0].alias("left"), e[1].alias("top"), (e[0] + side).alias("right"), (e[1] + side).alias("bottom"))
     return layout.contained(words, boxes, "label", 0.2).select("word_id", "box_id")
 
 

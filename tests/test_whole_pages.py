@@ -4,6 +4,9 @@ import collections
 import random
 import re
 
+import duckdb
+import numpy as np
+
 import __spark_entry__
 from factloom.operators import layout
 
@@ -25,6 +28,22 @@ def test_every_vector_is_a_box(spark):
     assert sorted(map(tuple, __spark_entry__.queries()["bbox_contain"](spark, SF).collect())) == want
 
 
+def test_box_sides_are_added_as_floats(spark, tmp_path):
+    """As in SQL: the corner of a box is a float, so what lies between its sum in float and in double counts by the former."""
+    rng = np.random.default_rng(7)
+    left = rng.uniform(-0.4, 0.4, 400).astype(np.float32)
+    right = left + np.float32(0.2)
+    rows = [(k, [float(x), 0.0], k // 2) for k, x in enumerate(np.column_stack([left, right]).ravel())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = __spark_entry__.oracle_sql()["bbox_contain"].replace("JOIN embeddings", "JOIN vectors").replace("FROM embeddings", "FROM vectors")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW vectors AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = sorted(db.execute(sql).fetchall())
+    in_double = sum(float(r) <= float(x) + 0.2 for x, r in zip(left, right, strict=True))
+    assert len(want) == 1200 and in_double < 400
+    assert sorted(map(tuple, __spark_entry__.queries()["bbox_contain"](spark, str(tmp_path)).collect())) == want
+
+
 def test_boxes_of_any_size_on_the_grid(spark):
     rng = random.Random(4)
     words = [(k, rng.choice("ab"), x := rng.uniform(-2, 2), y := rng.uniform(-2, 2), x + rng.choice([0, 0.3]), y + 0.1) for k in range(200)]
