@@ -24,3 +24,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that may grow: never sent to the driver and broadcast.
+
+    Repetitive columns make small files, so Spark takes millions of rows for a small table.
+    """
+    return df.hint("merge")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.tables import by_merge
 from factloom.functions.values import numbers_equal
 
 # Fixed value: assertions that nothing in a fact table can support.
@@ -59,9 +60,9 @@ def evaluate(claims: DataFrame, facts: DataFrame, same: Column | None = None, ke
         return rows.groupBy(*by, "fact_value", "fact_scope").agg(F.collect_set("fact_id").alias("_ids"))
 
     pairs = [
-        left.filter("product_id is not null").join(right.withColumnRenamed("fact_product_id", "product_id").filter("product_id is not null"), ["product_id", *by]).withColumn("_ids", F.array("fact_id")),
-        left.filter("product_id is not null").join(gathered(right.filter("fact_product_id is null")), by),
-        left.filter("product_id is null").join(gathered(right), by),
+        left.filter("product_id is not null").join(by_merge(right.withColumnRenamed("fact_product_id", "product_id").filter("product_id is not null")), ["product_id", *by]).withColumn("_ids", F.array("fact_id")),
+        left.filter("product_id is not null").join(by_merge(gathered(right.filter("fact_product_id is null"))), by),
+        left.filter("product_id is null").join(by_merge(gathered(right)), by),
     ]
     evidence = None
     for pair in pairs:
@@ -74,14 +75,16 @@ def evaluate(claims: DataFrame, facts: DataFrame, same: Column | None = None, ke
         at = ["_field", "_scope"] if with_scope else ["_field"]
         mine = asked.select("claim_id", "product_id", c("field").alias("_field"), F.coalesce("scope", none).alias("_scope"))
         have = facts.select(c("fact_field").alias("_field"), F.coalesce("fact_scope", none).alias("_scope"), c("fact_product_id").alias("product_id")).select("product_id", *at).distinct()
-        hits = mine.join(have.filter("product_id is not null"), ["product_id", *at], "left_semi").select("claim_id")
+        hits = mine.join(by_merge(have.filter("product_id is not null")), ["product_id", *at], "left_semi").select("claim_id")
         hits = hits.unionByName(mine.join(have.filter("product_id is null").drop("product_id"), at, "left_semi").select("claim_id"))
         hits = hits.unionByName(mine.filter("product_id is null").join(have.drop("product_id").distinct(), at, "left_semi").select("claim_id"))
         return hits.distinct()
 
     here = known(False).withColumn("_here", F.lit(True))
     scoped = known(True).withColumn("_scoped", F.lit(True))
-    rows = claims.join(evidence, "claim_id", "left").join(here, "claim_id", "left").join(scoped, "claim_id", "left")
+    rows = claims
+    for more in (evidence, here, scoped):
+        rows = rows.join(by_merge(more), "claim_id", "left")
     outcome = (
         F.when(c("product_ambiguous"), "product_ambiguous").when(c("evidence_ids").isNotNull(), "supported").when(c("_scoped"), "conflict")
         .when(c("_here"), "scope_ambiguous").otherwise("unsupported")
@@ -124,9 +127,9 @@ def mentioned_products(rows: DataFrame, names: DataFrame, take_only: bool = Fals
     own = F.coalesce(_longest(F.regexp_extract_all("_name", F.lit(_word), F.lit(0))), F.substring(_longest(F.regexp_extract_all("_name", F.lit(_run), F.lit(0))), 1, _RUN))
     named = named.withColumn("_key", own).filter("_key is not null")
     whole = F.concat(F.lit(r"(?<![a-z0-9])(?<![a-z0-9][_.-])\Q"), "_name", F.lit(r"\E(?![a-z0-9])(?![_.-][a-z0-9])"))
-    hits = words.join(named, "_key").filter((F.col("_name") == F.col("_key")) | F.regexp("_text", whole))
+    hits = words.join(by_merge(named), "_key").filter((F.col("_name") == F.col("_key")) | F.regexp("_text", whole))
     one = hits.groupBy("clause_id").agg(F.min("product_id").alias("_low"), F.max("product_id").alias("_high"))
-    found = rows.join(one, "clause_id", "left")
+    found = rows.join(by_merge(one), "clause_id", "left")
     product = F.when(F.col("_low") == F.col("_high"), F.col("_low"))
     if take_only:
         only = names.agg(F.when(F.min("product_id") == F.max("product_id"), F.min("product_id")).alias("_only"))  # one row

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import registry
 from factloom.functions.stages import stage
+from factloom.functions.tables import by_merge
 from factloom.functions.values import clean_text, fact_text, normalise, review_reason, value_key
 from factloom.operators.segments import DENIAL, segments
 
@@ -109,7 +110,7 @@ def candidates(blocks: DataFrame) -> DataFrame:
     rows = stage(rows, {"label_key": clean_text(F.col("label"))})
     rows = stage(rows, {"label_key": F.coalesce(fixes[F.col("label_key")], F.col("label_key"))})
     electric = _electrical(rows)
-    rows = rows.join(electric.select("block_id", "seq").distinct(), ["block_id", "seq"], "left_anti")
+    rows = rows.join(by_merge(electric.select("block_id", "seq").distinct()), ["block_id", "seq"], "left_anti")
     known = F.broadcast(registry.label_table(spark))
     rows = rows.join(known, "label_key", "left")
     open_ = F.when(_is_open_label(F.col("label_key")) & (F.col("rule") == "pair"), custom_field(F.col("label_key")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import registry
-from factloom.functions.tables import settled
+from factloom.functions.tables import by_merge, settled
 from factloom.functions.values import value_key, values_equal
 from factloom.operators import claims, extract, segments
 
@@ -62,15 +62,16 @@ def check(drafts: DataFrame, facts: DataFrame) -> DraftCheck:
     stated = read.filter(~F.col("field").isin(*IDENTITY)).select(
         F.col("candidate_id").alias("claim_id"), F.col("block_id").alias("clause_id"), "field", "scope", "value", F.col("value.unit").alias("unit"), "raw"
     )
-    made = settled(stated.join(owned.select("draft_id", "line", "clause_id", "product_id", "product_ambiguous"), "clause_id"), "claims")
+    made = settled(stated.join(by_merge(owned.select("draft_id", "line", "clause_id", "product_id", "product_ambiguous")), "clause_id"), "claims")
     approved = facts.select("fact_id", F.col("field").alias("fact_field"), F.col("product_id").alias("fact_product_id"), F.col("scope").alias("fact_scope"), F.col("value").alias("fact_value"), F.col("value.unit").alias("fact_unit"))
     same = values_equal(F.col("value"), F.col("fact_value"))
     judged = claims.evaluate(made, approved, same, (value_key(F.col("value")), value_key(F.col("fact_value"))))
     judged = settled(judged, "judged-claims")
 
+    told = by_merge(read.select(F.col("block_id").alias("clause_id")).distinct())
     inferred = clauses.select("draft_id", "line", "clause_id", F.explode(F.regexp_extract_all("clause", F.lit(claims.INFERENTIAL), F.lit(0))).alias("observed"))
-    inferred = inferred.join(read.select(F.col("block_id").alias("clause_id")).distinct(), "clause_id", "left_anti")
-    loose = clauses.join(read.select(F.col("block_id").alias("clause_id")).distinct(), "clause_id", "left_anti")
+    inferred = inferred.join(told, "clause_id", "left_anti")
+    loose = clauses.join(told, "clause_id", "left_anti")
     loose = loose.select("draft_id", "line", "clause_id", F.explode(F.regexp_extract_all("clause", F.lit(MEASUREMENT), F.lit(0))).alias("observed"))
     none = F.lit(None).cast("string")
     findings = judged.filter("outcome <> 'supported'").select("draft_id", "line", F.col("outcome").alias("kind"), "field", F.col("raw").alias("observed"))
@@ -81,6 +82,6 @@ def check(drafts: DataFrame, facts: DataFrame) -> DraftCheck:
     marks = marks.unionByName(inferred.select("draft_id", F.lit(1).alias("claim"), none.alias("kind")))
     marks = marks.unionByName(findings.select("draft_id", F.lit(0).alias("claim"), "kind"))
     per = marks.groupBy("draft_id").agg(F.sum("claim").alias("claims"), F.count("kind").alias("findings"), F.count_if(F.col("kind").isin("conflict", "unsupported")).alias("blocking"))
-    whole = drafts.select("draft_id").join(per, "draft_id", "left").na.fill(0, ["claims", "findings", "blocking"])
+    whole = drafts.select("draft_id").join(by_merge(per), "draft_id", "left").na.fill(0, ["claims", "findings", "blocking"])
     status = F.when(F.col("blocking") > 0, "blocked").when((F.col("findings") > 0) | (F.col("claims") == 0), "needs_review").otherwise("covered_fields_match")
     return DraftCheck(judged, findings, whole.withColumn("draft_status", status))

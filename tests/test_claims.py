@@ -1,5 +1,7 @@
 """Claims by key, products by name, drafts from text to findings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from factloom.functions.values import normalise
@@ -69,3 +71,27 @@ def test_rows_of_recognised_lines_meet_in_strips(spark):
     lines = [("i", 1, "净重", 0, 10, 50, 40), ("i", 2, "300g", 60, 14, 90, 44), ("i", 3, "长度", 0, 60, 50, 100), ("i", 4, "5cm", 60, 70, 90, 80), ("i", 5, "7g", 60, 300, 90, 320)]
     rows = spark.createDataFrame(lines, "image string, line_id int, text string, x0 int, y0 int, x1 int, y1 int")
     assert sorted(r["text"] for r in ocr.pair_rows(rows).collect()) == ["净重: 300g", "长度: 5cm"]
+
+
+def test_small_files_are_not_taken_for_small_tables(spark, tmp_path):
+    """A million repetitive rows make a file below the broadcast limit; no side that may grow is broadcast."""
+    claim = "claim_id string, field string, product_id string, scope string, value double, unit string, product_ambiguous boolean"
+    fact = "fact_id string, fact_field string, fact_product_id string, fact_scope string, fact_value double, fact_unit string"
+    tables = {
+        "claims": spark.createDataFrame([("c1", "length", "P1", None, 10.0, "mm", False), ("c2", "length", None, None, 11.0, "mm", False)], claim),
+        "facts": spark.createDataFrame([("f1", "length", "P1", None, 10.0, "mm")], fact),
+        "clauses": spark.createDataFrame([("c1", "P1 is long"), ("c2", "long")], "clause_id string, clause string"),
+        "names": spark.createDataFrame([("P1", "P1")], "name string, product_id string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables}
+    judged = claims.evaluate(read["claims"], read["facts"])
+    named = claims.mentioned_products(read["clauses"], read["names"])
+    for made in (judged, named):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        keys = {key for found in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan) for key in re.findall(r"(\w+)#", found)}
+        assert "SortMergeJoin" in plan, plan
+        assert keys <= {"field", "_field", "_scope"}  # distinct fields are few
+    assert {r["claim_id"]: r["outcome"] for r in judged.collect()} == {"c1": "supported", "c2": "conflict"}
+    assert {r["clause_id"]: r["product_id"] for r in named.collect()} == {"c1": "P1", "c2": None}
