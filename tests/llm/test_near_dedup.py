@@ -84,3 +84,11 @@ def test_links_connect_every_near_pair(share):
     for a, b in found:
         root[top(a)] = top(b)
     assert all(top(a) == top(b) for a, b in combinations(range(60), 2) if near(a, b))
+
+
+def test_texts_are_joined_by_merge_at_any_size(spark):
+    rows = [(k, " ".join(text(40))) for k in range(4)] * 2
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("LeftAnti")[0]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
